@@ -20,7 +20,7 @@ from tidemark.llm.common import cut
 _SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Signals, and the least interquartile range that a fence reckons with.
-LEAST_SPREAD = {"symbol_share": 0.02, "dup_line_share": 0.1, "repeat_share": 0.1, "word_length": 2.0}
+LEAST_SPREAD = {"symbol_share": 0.02, "dup_line_share": 0.25, "repeat_share": 0.1, "word_length": 2.0}
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001

@@ -104,3 +104,42 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = found.drop("values", "_owner", "_repo").join(per_row, "_row", "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("_id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_shared", zero).alias("n_shared"))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 1, most_repos: int = 3, mask: str = "[SECRET]") -> DataFrame:
+    """docs with the values of live-looking spans replaced by mask; all rows and columns stay.
+
+    Which values are live is decided over the whole corpus as in secret_scan(). Only hashes move
+    for that; documents then meet the hashes of their own live values by id and text.
+    """
+    mark = F.xxhash64(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), mark.alias("_mark"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"), F.to_json(F.struct(*[F.col(c) for c in repo_cols])).alias("_repo"), F.col(text_col).alias("_text"))
+    found = cut(scan(rows, "_id", "_text", ["_mark", "_owner", "_repo"]).where("size(values) > 0").select("_id", "_mark", "_owner", "_repo", F.explode("values").alias("value")).distinct())
+    owners = found.select("value", "_owner").distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= most_owners)
+    repos = found.select("value", "_repo").distinct().groupBy("value").agg(F.count("*").alias("repos")).where(F.col("repos") <= most_repos)
+    live = owners.join(repos, "value").select("value")
+    # The live values of one document: as many as its text has.
+    per_doc = found.select("_id", "_mark", "value").distinct().join(live, "value").groupBy("_id", "_mark").agg(F.collect_set("value").alias("_live"))
+    marked = docs.withColumn("_m", mark).join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_m").eqNullSafe(F.col("_mark")), "left").select(*[docs[c] for c in docs.columns], "_live")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, live = batch.columns
+            texts = [t if values is None else _masked(t, set(values), mask) for t, values in zip(columns[at].to_pylist(), live.to_pylist(), strict=True)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.record_batch(columns, names=docs.columns)
+
+    return small_batches(marked).mapInArrow(run, docs.schema)
+
+
+def _masked(text: str, live: set[str], mask: str) -> str:
+    parts = [m for m in spans(text) if hashlib.sha256(m[3].encode("utf-8", "replace")).hexdigest() in live]
+    out, at = [], 0
+    for start, end, _, value in parts:
+        start += text[start:end].rfind(value)  # of an assignment only the value goes
+        end = start + len(value)
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
