@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import mvcc
+from tidemark.plans import cluster, kv, mvcc, relational
 
-QUERIES = {**mvcc.QUERIES}
-ORACLES = {**mvcc.ORACLES}
+_PLANS = (kv, mvcc, cluster, relational)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: text for plan in _PLANS for name, text in plan.ORACLES.items()}

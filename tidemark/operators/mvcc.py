@@ -32,3 +32,65 @@ def newest(versions: DataFrame, keys: list[str], commit_ts: str = "commit_ts") -
 def snapshot(versions: DataFrame, keys: list[str], read_ts: int, committed: str | None = "committed") -> DataFrame:
     """Rows that a transaction starting at read_ts sees."""
     return newest(versions.where(visible(read_ts, committed)), keys).where(readable())
+
+
+def as_of(probes: DataFrame, versions: DataFrame, key: str, ts: str, commit_ts: str = "commit_ts") -> DataFrame:
+    """Each probe with the newest version at or before its time (null where there is none).
+
+    Probes and versions are laid in one column and swept by key and time, so nothing is paired:
+    the cost is one sort, whatever the number of versions of a key.
+    """
+    from pyspark.sql import Window
+
+    rest = [c for c in versions.columns if c != key]
+    left = probes.select(F.col(key), F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*[c for c in probes.columns if c != key]).alias("_p"), F.lit(None).cast(versions.select(F.struct(*rest).alias("s")).schema["s"].dataType).alias("_v"))
+    right = versions.select(F.col(key), F.col(commit_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), F.struct(*rest).alias("_v"))
+    sweep = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = left.union(right).withColumn("_v", F.last("_v", ignorenulls=True).over(sweep)).where("_side = 1")
+    return swept.select(key, *[F.col(f"_p.{c}").alias(c) for c in probes.columns if c != key], *[F.col(f"_v.{c}").alias(f"v_{c}") for c in rest])
+
+
+def fold_batch(ops: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
+    """The state after ordered puts and deletes: the last operation of each key, if it is a put."""
+    last = ops.groupBy(key).agg(F.max_by(F.struct("op", "value"), seq).alias("o"))
+    return last.where("o.op = 'PUT'").select(key, F.col("o.value").alias("value"))
+
+
+def commit(intents: DataFrame, commits: DataFrame) -> DataFrame:
+    """Intents of committed transactions, with their commit_ts; others stay uncommitted."""
+    done = commits.select("txn_id", F.col("commit_ts").alias("_c"))
+    out = intents.drop("commit_ts", "committed").join(done, "txn_id", "left")
+    return out.withColumn("committed", F.col("_c").isNotNull()).withColumnRenamed("_c", "commit_ts")
+
+
+def rollback(intents: DataFrame, undone: DataFrame) -> DataFrame:
+    """Intents without those of the transactions that are undone."""
+    return intents.join(undone.select("txn_id"), "txn_id", "left_anti")
+
+
+def resolve_locks(locks: DataFrame, commits: DataFrame, now: int) -> DataFrame:
+    """WAIT while a lock lives; then ROLL_FORWARD if its primary is committed, else ROLLBACK."""
+    out = locks.join(commits.select("txn_id", "commit_ts"), "txn_id", "left")
+    action = F.when(F.col("start_ts") + F.col("ttl") > now, "WAIT").when(F.col("commit_ts").isNotNull(), "ROLL_FORWARD").otherwise("ROLLBACK")
+    return out.withColumn("action", action)
+
+
+def collect_garbage(versions: DataFrame, keys: list[str], safe_point: int, commit_ts: str = "commit_ts") -> DataFrame:
+    """Versions that a read at or after safe_point can need: those beyond it, and each key's newest before."""
+    before = versions.where(F.col(commit_ts) <= safe_point)
+    kept = before.groupBy(*keys).agg(F.max(commit_ts).alias(commit_ts))
+    return versions.where(F.col(commit_ts) > safe_point).unionByName(before.join(kept, [*keys, commit_ts], "left_semi"))
+
+
+def next_safe_point(current: int, candidate: int, active: list[int], backup: int | None = None) -> int:
+    """candidate if it goes forward and no transaction or backup needs older versions; else current."""
+    held = [*active, *([] if backup is None else [backup])]
+    return candidate if candidate > current and all(candidate < x for x in held) else current
+
+
+def allocate(requests: DataFrame, key: str = "key", seq: str = "seq", step: str = "step") -> DataFrame:
+    """[first, last) of the ids that each request gets from its key's counter, in order of seq."""
+    from pyspark.sql import Window
+
+    end = F.sum(step).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
+    return requests.withColumn("last_id", end).withColumn("first_id", F.col("last_id") - F.col(step))
