@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import small_batches, type_of
 
@@ -213,6 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark, out = docs.sparkSession, None
     schema = f"`{id_col}` {type_of(docs, id_col)}, `{item_col}` {type_of(benchmark, item_col)}, edits int, start_word int"
     source = small_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")))
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     for index in _blocks(benchmark, item_col, text_col, block, rate, recall):
         held = spark.sparkContext.broadcast(index)  # bounded by block items
 
@@ -224,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     at += [i] * len(own)
                     found += own
                 kept = batch.column(0).take(pa.array(at, pa.int64()))
-                yield pa.record_batch([kept, pa.array([x[0] for x in found]), pa.array([x[2] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())], names=[id_col, item_col, "edits", "start_word"])
+                yield pa.record_batch([kept, pa.array([x[0] for x in found], item_type), pa.array([x[2] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())], names=[id_col, item_col, "edits", "start_word"])
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.union(part)

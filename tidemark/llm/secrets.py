@@ -121,14 +121,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     # The live values of one document: as many as its text has.
     per_doc = found.select("_id", "_mark", "value").distinct().join(live, "value").groupBy("_id", "_mark").agg(F.collect_set("value").alias("_live"))
     marked = docs.withColumn("_m", mark).join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_m").eqNullSafe(F.col("_mark")), "left").select(*[docs[c] for c in docs.columns], "_live")
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *columns, live = batch.columns
             texts = [t if values is None else _masked(t, set(values), mask) for t, values in zip(columns[at].to_pylist(), live.to_pylist(), strict=True)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.record_batch(columns, names=docs.columns)
+            yield pa.record_batch(columns, names=names)
 
     return small_batches(marked).mapInArrow(run, docs.schema)
 
