@@ -163,7 +163,7 @@ def fit_ordinal(rows: list[tuple[int, set[str]]], l2: float = 0.03, steps: int =
     return OrdinalModel({w: float(x) for w, x in zip(vocabulary, p[:nv], strict=True) if abs(x) > 1e-3}, [float(t) for t in theta])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most: int = 6000) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most: int = 4000) -> OrdinalModel:
     """A model fitted on at most `most` labelled rows: the documented bound of the sample.
 
     Labels that only flag rows (grades 0 and 1) are divided further by severity_grades().
