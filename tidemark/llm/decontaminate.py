@@ -27,12 +27,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidemark.llm.common import small_batches, type_of
 
 _PUNCTUATION = bytes(i for i in range(128) if not chr(i).isalnum())
-_PLAIN = bytes.maketrans(bytes(range(65, 91)) + _PUNCTUATION, bytes(range(97, 123)) + b" " * len(_PUNCTUATION))
+_PLAIN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
 def words(text: bytes | None) -> list[bytes]:
-    """Runs of letters, digits and bytes over 127; A-Z in lower case."""
-    return text.translate(_PLAIN).split() if text else []
+    """Runs of letters, digits and bytes over 127, in lower case."""
+    return text.decode("utf-8", "replace").lower().encode("utf-8", "replace").translate(_PLAIN).split() if text else []
 
 
 def edits_allowed(n: int, rate: float) -> int:

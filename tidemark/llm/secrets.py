@@ -120,7 +120,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     live = owners.join(repos, "value").select("value")
     # The live values of one document: as many as its text has.
     per_doc = found.select("_id", "_mark", "value").distinct().join(live, "value").groupBy("_id", "_mark").agg(F.collect_set("value").alias("_live"))
-    marked = docs.withColumn("_m", mark).join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_m").eqNullSafe(F.col("_mark")), "left").select(*[docs[c] for c in docs.columns], "_live")
+    # The joined names must not clash with any column of docs.
+    taken = "_" * (1 + max(map(len, docs.columns)))
+    key, text_key, live_key = f"{taken}id", f"{taken}mark", f"{taken}live"
+    per_doc = per_doc.select(F.col("_id").alias(key), F.col("_mark").alias(text_key), F.col("_live").alias(live_key))
+    marked = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col(key)) & mark.eqNullSafe(F.col(text_key)), "left").select(*docs.columns, live_key)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
