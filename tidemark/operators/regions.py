@@ -16,8 +16,8 @@ def _small(regions: DataFrame) -> DataFrame:
 def route(keys: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """Each key with the region whose [start_row, end_row) holds it; null region where none does.
 
-    Regions don't overlap. A null end is unbounded. Few regions are broadcast; many are joined
-    by sweeping starts and keys in order, which pairs nothing.
+    Regions don't overlap. A null end is unbounded. Up to MOST_BROADCAST regions, counted
+    first, are broadcast; beyond that Spark plans the range join itself, which is slow.
     """
     return keys.join(_small(regions), (F.col(key) >= F.col("start_row")) & (F.col("end_row").isNull() | (F.col(key) < F.col("end_row"))), "left")
 
