@@ -83,8 +83,50 @@ def test_simhash_odd_rows(spark):
     assert [x[1] for x in got[2]] == [1, 1] and got[3][0][1] == 1 and got[10][0][1] in (1, 10)
     assert {got[i][0] for i in (4, 5, 6)} == {("0" * 16, 4)} and got[None][0][1] == 7
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert (near[1], near[2], near[3], near[10], near[4], near[5], near[6], near[7], near[None]) == (1, 1, 1, 1, 4, 4, 4, 7, 7)
     kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).where("doc_id is not null").collect())
-    assert kept == sorted({v[0][1] for v in got.values()}) and simhash.keep_one(docs).columns == docs.columns
+    assert kept == sorted(set(near.values())) and simhash.keep_one(docs).columns == docs.columns
+    assert simhash.near_copies(docs.limit(0)).count() == simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_copies_against_shingle_similarity(spark):
+    """Pairs of a 5-word Jaccard similarity of 0.8 or more are found, and no text without a near one is linked."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rng = random.Random(8)
+    whole = [t for _, t in rows if t and 100 <= len(t.split()) <= 3000][:150]
+    for i, t in enumerate(whole):
+        w = t.split()
+        for _ in range(i % 4 * len(w) // 150):
+            w[rng.randrange(len(w))] = "altered"
+        rows.append((10**6 + i, " ".join(w)))
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    having = collections.defaultdict(set)
+    for d, s in sets.items():
+        for x in s:
+            having[x].add(d)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close, found, nearest = 0, 0, collections.Counter()
+    for a, s in sets.items():
+        for b in {d for x in s for d in having[x]} - {a}:
+            j = len(s & sets[b]) / len(s | sets[b])
+            nearest[a] = max(nearest[a], j)
+            close, found = close + (j >= 0.8), found + (j >= 0.8 and got[a] == got[b])
+    assert close >= 100 and found >= 0.97 * close
+    assert all(got[d] == d or nearest[d] >= 0.6 for d in got)
+
+
+def test_near_copies_of_a_group_over_many_portions(spark, monkeypatch):
+    """Leaders carry an anchor from one portion of a slice to the next."""
+    monkeypatch.setattr(simhash, "_SLICE_BYTES", 2000)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(400)]
+    rows = [(i, " ".join(base[:-1] + [f"own{i}"])) for i in range(200)] + [(1000 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(60))) for i in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 0 if d < 1000 else d for d, _ in rows}
 
 
 def test_warc_round_trip_and_revisits(spark):

@@ -9,10 +9,16 @@ Covering radius plus the whole t would replicate 652 times and find the same pai
 
 An anchor holds distinct fingerprints only, and these lie in a ball of that radius: at most
 4,034 for t = 2, however many copies the corpus has. No list of pairs of documents is built.
+
+Texts of a given shingle similarity lie too many bits apart for one covering: at 0.8, some 10 of
+64 bits. near_copies() finds them by fingerprints of 16 blocks of 32 bits. The lower 31 bits of
+each block have anchors of their own (the Hamming code [31, 26]); texts meet where a block is
+within 2 bits, and then the whole 512 bits decide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -27,7 +33,11 @@ from tidemark.llm.common import components, cut, small_batches, type_of
 
 CODE_BITS = 63
 COVERING_RADIUS = 1
-_LOW = np.uint64((1 << CODE_BITS) - 1)
+BLOCKS, BLOCK_BITS = 16, 31
+_MEMBER = np.dtype([("anchor", "<u4"), ("block", "<u4"), ("check", "<u4"), ("point", "<i8")])
+#: At similarity 0.8 two texts differ in 5 of 32 bits on average, in over 12 once in 2,000 times.
+_MOST_CHECK = 12
+_SLICE_BYTES = 32 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -59,11 +69,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @cache
-def _errors(radius: int) -> list[np.ndarray]:
-    """For each syndrome, the error patterns of at most radius bits that have it."""
-    found: list[list[int]] = [[] for _ in range(CODE_BITS + 1)]
+def _errors(radius: int, size: int) -> list[np.ndarray]:
+    """For each syndrome of the code of size bits, the error patterns of at most radius bits that have it."""
+    found: list[list[int]] = [[] for _ in range(size + 1)]
     for weight in range(radius + 1):
-        for at in combinations(range(1, CODE_BITS + 1), weight):
+        for at in combinations(range(1, size + 1), weight):
             syndrome = mask = 0
             for i in at:
                 syndrome ^= i
@@ -72,21 +82,21 @@ def _errors(radius: int) -> list[np.ndarray]:
     return [np.array(x, dtype=np.uint64) for x in found]
 
 
-def _syndromes(points: np.ndarray) -> np.ndarray:
+def _syndromes(points: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(points), dtype=np.uint64)
-    for i in range(1, CODE_BITS + 1):
+    for i in range(1, size + 1):
         out ^= ((points >> np.uint64(i - 1)) & np.uint64(1)) * np.uint64(i)
     return out
 
 
-def anchors(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, index of the point) for each anchor within radius of each uint64 point."""
-    low = points & _LOW
+def anchors(points: np.ndarray, radius: int, size: int = CODE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, index of the point) for each anchor within radius of the lower size bits of each uint64 point."""
+    low = points & np.uint64((1 << size) - 1)
     near, which = [], []
-    syndromes = _syndromes(low)
+    syndromes = _syndromes(low, size)
     for s in np.unique(syndromes):
         own = np.flatnonzero(syndromes == s)
-        errors = _errors(radius)[int(s)]
+        errors = _errors(radius, size)[int(s)]
         near.append((low[own][:, None] ^ errors[None, :]).ravel())
         which.append(np.repeat(own, len(errors)))
     return (np.concatenate(near), np.concatenate(which)) if near else (low, np.zeros(0, dtype=np.int64))
@@ -174,12 +184,145 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_point, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
-    """docs without all but one document of each component: that with the least id stays.
+def wide_fingerprint(text: bytes | None, shingle: int) -> bytes:
+    """BLOCKS * 4 bytes: the SimHash over as many 64-bit hashes of each shingle as that takes."""
+    words = text.lower().split() if text else []
+    wide = BLOCKS // 2
+    counts = np.zeros(64 * wide, dtype=np.int64)
+    n, block = max(1, len(words) - shingle + 1) if words else 0, 1 << 13
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    turns = np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, n, block):
+        h = np.array([digest(join(words[i : i + shingle]), 42) for i in range(start, min(n, start + block))], dtype=np.uint64)
+        with np.errstate(over="ignore"):  # a hash is mixed anew for each word of the fingerprint
+            h = h[:, None] + turns[None, :]
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        counts += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > n).tobytes()
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of a wide fingerprint in which two texts of a Jaccard similarity differ, and a deviation more."""
+    p, size = math.acos(2 * similarity / (1 + similarity)) / math.pi, 32 * BLOCKS
+    return round(size * p + math.sqrt(size * p * (1 - p)))
+
+
+def _stars(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ties, leaders) of an anchor's members: each member not far from a leader is tied to it."""
+    found, leaders = [], []
+    while len(members):
+        head, members = members[0], members[1:]
+        near = (np.bitwise_count(members["block"] ^ head["block"]) <= 2) & (np.bitwise_count(members["check"] ^ head["check"]) <= _MOST_CHECK)
+        tied = members["point"][near]
+        if len(tied):
+            found.append(np.stack([tied, np.full(len(tied), head["point"])], axis=1))
+        leaders.append(head)
+        members = members[~near]
+    return (np.concatenate(found) if found else np.zeros((0, 2), np.int64)), np.array(leaders, dtype=_MEMBER)
+
+
+def _candidates(points: DataFrame) -> DataFrame:
+    """Distinct (u, v) of points (point, fp) that meet at an anchor of some block, as stars.
+
+    Members go to slices of anchors, as many as keep a slice of them within _SLICE_BYTES; a slice
+    is worked off in such portions, and of each anchor only leaders stay for the next one. So
+    copies of one text, however many, don't pile up in a task.
+    """
+    each = 16 * _MEMBER.itemsize  # a block has 15.5 anchors on average
+    slices = max(1, math.ceil(points.count() * each / _SLICE_BYTES))
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 8192):
+                part = batch.slice(a, 8192)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                blocks = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u4").reshape(-1, BLOCKS)
+                at, data = [], []
+                for b in range(BLOCKS):
+                    near, which = anchors(blocks[:, b].astype(np.uint64), COVERING_RADIUS + 1, BLOCK_BITS)
+                    own = np.empty(len(near), dtype=_MEMBER)
+                    own["anchor"], own["block"] = near, blocks[which, b] & np.uint32((1 << BLOCK_BITS) - 1)
+                    own["check"], own["point"] = blocks[which, (b + 1) % BLOCKS], ids[which]
+                    part_of = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(slices)
+                    order = np.argsort(part_of, kind="stable")
+                    where, first = np.unique(part_of[order], return_index=True)
+                    for s, group in zip(where.tolist(), np.split(own[order], first[1:]), strict=True):
+                        at.append(b * slices + s)
+                        data.append(group.tobytes())
+                yield pa.record_batch([pa.array(at, pa.int64()), pa.array(data, pa.binary())], names=["slice", "members"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def ties(members: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            members = np.sort(members, order=["anchor", "point"])
+            starts = np.flatnonzero(np.r_[True, members["anchor"][1:] != members["anchor"][:-1]])
+            ends = np.r_[starts[1:], len(members)]
+            several = ends - starts > 1
+            alone = members[starts[~several]]
+            found, left = [np.zeros((0, 2), np.int64)], [alone]
+            for a, z in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+                own, leaders = _stars(members[a:z])
+                found.append(own)
+                left.append(leaders)
+            return np.unique(np.concatenate(found), axis=0), left
+
+        def told(found: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+        for batch in batches:
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (s != now or size > 2 * _SLICE_BYTES):
+                    found, left = ties(np.concatenate(held))
+                    yield told(found)
+                    held, size = (left, 0) if s == now else ([], 0)
+                now = s
+                held.append(np.frombuffer(data, dtype=_MEMBER))
+                size += len(data)
+        if held:
+            yield told(ties(np.concatenate(held))[0])
+
+    met = small_batches(points.select("point", "fp")).mapInArrow(replicate, "slice long, members binary")
+    pairs = met.repartition("slice").sortWithinPartitions("slice").mapInArrow(compare, "u long, v long")
+    return pairs.where("u <> v").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row for each row of docs: id_col, component_id (as in near_duplicates()).
+
+    Texts are linked whose word shingles have about the Jaccard similarity asked for, as 512 bits
+    estimate it. Equal texts always are; null and wordless texts are equal. Null ids, repeated
+    rows, empty tables and other columns are treated as in near_duplicates().
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            found = [wide_fingerprint(texts[i].as_py(), shingle) for i in range(len(texts))]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=[id_col, "fp"])
+
+    source = small_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")))
+    marked = cut(source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, fp binary"))
+    points = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
+    points = cut(points.withColumn("point", F.monotonically_increasing_id()))  # written, so that numbers hold
+    word = lambda i: F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long")
+    bits = points.select("point", F.array(*[word(i) for i in range(BLOCKS // 2)]).alias("bits"))
+    one, two = bits.toDF("u", "a"), bits.toDF("v", "b")
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    edges = _candidates(points).join(one, "u").join(two, "v").where(apart <= most_bits(similarity)).select("u", "v")
+    same = components(edges).withColumnRenamed("node", "point")
+    placed = points.join(same, "point", "left").select("fp", "least", F.coalesce("component", "point").alias("component"))
+    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(placed.join(roots, "component").select("fp", "component_id"), "fp").select(id_col, "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but one document of each component of near_copies(): that with the least id stays.
 
     Rows that repeat an id are one document. Rows with a null id stay, as nothing tells them apart.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, most)
+    found = near_copies(docs, id_col, text_col, shingle, similarity)
     heads = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(heads, id_col, "left_semi").dropDuplicates([id_col])
     return named.union(docs.where(F.col(id_col).isNull()))
