@@ -88,3 +88,21 @@ def test_streaming_windows_and_dedup(spark, tmp_path):
     q = ordered.deduplicate_stream(stream, ["k", "call"], "ts", "2 hours").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2")).option("path", out2).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(out2).count() == 15
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_many_regions_by_cells(spark, monkeypatch, most):
+    """Cells find what comparing with each region finds; most: broadcast or shuffled."""
+    from tidemark.operators import regions as rg
+
+    rows = [(f"r{i}", i * 10 + i % 3, i * 10 + 9 + i % 2 * 400 * (i % 50 == 1)) for i in range(1500)]
+    rows = [r for i, r in enumerate(rows) if not any(p[1] < r[2] and r[1] < p[2] for p in rows[max(0, i - 60) : i])] + [("last", 20000, None)]
+    regions = spark.createDataFrame(rows, "region_id string, start_row long, end_row long")
+    keys = spark.range(-50, 20300, 7).withColumnRenamed("id", "k").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    scans = spark.range(0, 15000, 37).selectExpr("id AS s", "id AS scan_start", "id + id % 500 AS scan_end")
+    monkeypatch.setattr(rg, "FEW", 10**6)
+    want = [sorted(map(str, f.collect())) for f in (rg.route(keys, regions, "k"), rg.overlap(scans, regions))]
+    monkeypatch.setattr(rg, "FEW", 10)
+    monkeypatch.setattr(rg, "MOST_BROADCAST", most)
+    assert [sorted(map(str, f.collect())) for f in (rg.route(keys, regions, "k"), rg.overlap(scans, regions))] == want
+    assert sum("region_id=None" not in x for x in want[0]) > 500

@@ -5,26 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Up to FEW regions are compared with each row; more are found by cells of the key space.
+FEW = 1_000
 MOST_BROADCAST = 100_000
+CELLS = 256
 
 
-def _small(regions: DataFrame) -> DataFrame:
-    """regions, marked for broadcast if counting shows that they are few."""
-    return F.broadcast(regions) if regions.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else regions
+def _cell(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at or below value, by halving."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value >= cuts[mid], search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, len(cuts))
+
+
+def _cells(regions: DataFrame) -> tuple[DataFrame, list[int]] | None:
+    """regions once for each cell they touch (_cell) and the cuts of the cells; None if regions are few.
+
+    Cuts are quantiles of the regions' starts, so cells hold about as many regions each. The
+    copies are broadcast up to MOST_BROADCAST regions, counted first; beyond that cells are a
+    shuffled join's key, whose hot cells adaptive execution splits.
+    """
+    count = regions.limit(MOST_BROADCAST + 1).count()
+    if count <= FEW:
+        return None
+    cuts = sorted({int(x) for x in regions.approxQuantile("start_row", [i / CELLS for i in range(1, CELLS)], 0.001)})
+    first = F.when(F.col("start_row").isNull(), 0).otherwise(_cell(F.col("start_row"), cuts))
+    last = F.when(F.col("end_row").isNull(), len(cuts)).otherwise(_cell(F.col("end_row"), cuts))
+    spread = regions.withColumn("_first", first).withColumn("_cell", F.explode(F.sequence("_first", F.greatest("_first", last))))
+    return (F.broadcast(spread) if count <= MOST_BROADCAST else spread), cuts
 
 
 def route(keys: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """Each key with the region whose [start_row, end_row) holds it; null region where none does.
 
-    Regions don't overlap. A null end is unbounded. Up to MOST_BROADCAST regions, counted
-    first, are broadcast; beyond that Spark plans the range join itself, which is slow.
+    Regions don't overlap. A null end is unbounded; a null key or start meets nothing.
     """
-    return keys.join(_small(regions), (F.col(key) >= F.col("start_row")) & (F.col("end_row").isNull() | (F.col(key) < F.col("end_row"))), "left")
+    held = (F.col(key) >= F.col("start_row")) & (F.col("end_row").isNull() | (F.col(key) < F.col("end_row")))
+    found = _cells(regions)
+    if found is None:
+        return keys.join(F.broadcast(regions), held, "left")
+    spread, cuts = found
+    return keys.withColumn("_at", _cell(F.col(key), cuts)).join(spread, (F.col("_at") == F.col("_cell")) & held, "left").drop("_at", "_cell", "_first")
 
 
 def overlap(scans: DataFrame, regions: DataFrame) -> DataFrame:
     """A task for each scan range and region that meet, cut to what they share."""
-    met = scans.join(_small(regions), (F.col("scan_start") < F.col("end_row")) & (F.col("start_row") < F.col("scan_end")))
+    meet = (F.col("scan_start") < F.col("end_row")) & (F.col("start_row") < F.col("scan_end"))
+    found = _cells(regions)
+    if found is None:
+        met = scans.join(F.broadcast(regions), meet)
+    else:
+        spread, cuts = found
+        low, high = _cell(F.col("scan_start"), cuts), _cell(F.col("scan_end"), cuts)
+        cut = scans.withColumn("_from", low).withColumn("_at", F.explode(F.sequence("_from", F.greatest("_from", high))))
+        # A pair may share several cells; it counts in the first of them.
+        once = F.col("_at") == F.greatest("_from", "_first")
+        met = cut.join(spread, (F.col("_at") == F.col("_cell")) & meet & once).drop("_from", "_at", "_cell", "_first")
     return met.withColumn("task_start", F.greatest("scan_start", "start_row")).withColumn("task_end", F.least("scan_end", "end_row"))
 
 
