@@ -142,7 +142,7 @@ def watch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_after_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's least index for a read: the last write within 60 units."""
+    """Each user's least index for a read: that of the user's last write."""
     e = table(spark, sf_dir, "events")
     return e.where("event_type <> 'view'").groupBy("user_id").agg(F.max("event_id").alias("write_index"))
 
