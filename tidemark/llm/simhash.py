@@ -204,9 +204,9 @@ def wide_fingerprint(text: bytes | None, shingle: int) -> bytes:
 
 
 def most_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint in which two texts of a Jaccard similarity differ, and a deviation more."""
+    """Bits of a wide fingerprint in which two texts of a Jaccard similarity differ, and two deviations more."""
     p, size = math.acos(2 * similarity / (1 + similarity)) / math.pi, 32 * BLOCKS
-    return round(size * p + math.sqrt(size * p * (1 - p)))
+    return round(size * p + 2 * math.sqrt(size * p * (1 - p)))
 
 
 def _stars(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
