@@ -129,6 +129,20 @@ def test_near_copies_of_a_group_over_many_portions(spark, monkeypatch):
     assert got == {d: 0 if d < 1000 else d for d, _ in rows}
 
 
+def planted(rng, words, own):
+    """words with their last `own` words put anew: n shingles become (n - own) / (n + own) alike."""
+    return words[: len(words) - own] + [f"n{rng.randrange(10**9)}" for _ in range(own)]
+
+
+def test_near_copies_of_one_template_stay_apart(spark):
+    """300 texts, pairwise 0.65 alike, are no copies of each other, however many they are."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+    rows = [(i, " ".join(planted(rng, base, 43))) for i in range(300)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in rows}
+
+
 def test_warc_round_trip_and_revisits(spark):
     bodies = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "x" * 300000, "<p>a</p>\r\n\r\n", "é漢"]
     pages = spark.createDataFrame([(i, f"http://h/{i}" if i else None, b, "k") for i, b in enumerate(bodies)], "page_id long, url string, html string, digest string")

@@ -13,7 +13,7 @@ An anchor holds distinct fingerprints only, and these lie in a ball of that radi
 Texts of a given shingle similarity lie too many bits apart for one covering: at 0.8, some 10 of
 64 bits. near_copies() finds them by fingerprints of 16 blocks of 32 bits. The lower 31 bits of
 each block have anchors of their own (the Hamming code [31, 26]); texts meet where a block is
-within 2 bits, and then the whole 512 bits decide.
+within 2 bits; the whole 512 bits tell the candidates, and their shingles decide.
 """
 
 from __future__ import annotations
@@ -184,23 +184,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_point, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: bytes | None, shingle: int) -> bytes:
-    """BLOCKS * 4 bytes: the SimHash over as many 64-bit hashes of each shingle as that takes."""
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles, in order; a shorter text is one shingle."""
     words = text.lower().split() if text else []
-    wide = BLOCKS // 2
-    counts = np.zeros(64 * wide, dtype=np.int64)
-    n, block = max(1, len(words) - shingle + 1) if words else 0, 1 << 13
+    n = max(1, len(words) - shingle + 1) if words else 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """BLOCKS * 4 bytes: the SimHash of distinct shingles over as many 64-bit hashes of each as that takes."""
+    wide, block = BLOCKS // 2, 1 << 13
+    counts = np.zeros(64 * wide, dtype=np.int64)
     turns = np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for start in range(0, n, block):
-        h = np.array([digest(join(words[i : i + shingle]), 42) for i in range(start, min(n, start + block))], dtype=np.uint64)
+    for start in range(0, len(hashes), block):
         with np.errstate(over="ignore"):  # a hash is mixed anew for each word of the fingerprint
-            h = h[:, None] + turns[None, :]
+            h = hashes[start : start + block, None] + turns[None, :]
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(31)
         counts += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
-    return np.packbits(2 * counts > n).tobytes()
+    return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
 def most_bits(similarity: float) -> int:
@@ -289,32 +293,53 @@ def _candidates(points: DataFrame) -> DataFrame:
     return pairs.where("u <> v").distinct()
 
 
+def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose sets (point, grams) have a Jaccard similarity of at least that, exactly."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = sets.toDF("u", "a"), sets.toDF("v", "b")
+    return small_batches(edges.join(one, "u").join(two, "v").select("u", "v", "a", "b")).mapInArrow(check, "u long, v long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each row of docs: id_col, component_id (as in near_duplicates()).
 
-    Texts are linked whose word shingles have about the Jaccard similarity asked for, as 512 bits
-    estimate it. Equal texts always are; null and wordless texts are equal. Null ids, repeated
-    rows, empty tables and other columns are treated as in near_duplicates().
+    Texts are linked whose distinct word shingles have at least the Jaccard similarity asked for:
+    512 bits tell the candidates, and each is checked by its shingles' hashes. Texts of the same
+    shingles always are; null and wordless texts are equal. Null ids, repeated rows, empty tables
+    and other columns are treated as in near_duplicates().
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            found = [wide_fingerprint(texts[i].as_py(), shingle) for i in range(len(texts))]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=[id_col, "fp"])
+            found = [shingles(texts[i].as_py(), shingle) for i in range(len(texts))]
+            grams = [x.tobytes() for x in found]
+            columns = [[xxhash.xxh3_128_digest(x) for x in grams], [wide_fingerprint(x) for x in found], grams]
+            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.binary()) for x in columns)], names=[id_col, "mark", "fp", "grams"])
 
     source = small_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")))
-    marked = cut(source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, fp binary"))
-    points = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
-    points = cut(points.withColumn("point", F.monotonically_increasing_id()))  # written, so that numbers hold
+    marked = source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, mark binary, fp binary, grams binary")
+    marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))  # written, so that numbers hold
+    points = cut(marked.groupBy("mark", "fp").agg(F.min(id_col).alias("least"), F.min("row").alias("point")))
     word = lambda i: F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long")
     bits = points.select("point", F.array(*[word(i) for i in range(BLOCKS // 2)]).alias("bits"))
     one, two = bits.toDF("u", "a"), bits.toDF("v", "b")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    edges = _candidates(points).join(one, "u").join(two, "v").where(apart <= most_bits(similarity)).select("u", "v")
-    same = components(edges).withColumnRenamed("node", "point")
-    placed = points.join(same, "point", "left").select("fp", "least", F.coalesce("component", "point").alias("component"))
+    edges = cut(_candidates(points).join(one, "u").join(two, "v").where(apart <= most_bits(similarity)).select("u", "v"))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    sets = marked.select("row", "grams").join(nodes, "row")
+    same = components(_similar(edges, sets, similarity)).withColumnRenamed("node", "point")
+    placed = points.join(same, "point", "left").select("mark", "least", F.coalesce("component", "point").alias("component"))
     roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.join(roots, "component").select("fp", "component_id"), "fp").select(id_col, "component_id")
+    return marked.select(id_col, "mark").join(placed.join(roots, "component").select("mark", "component_id"), "mark").select(id_col, "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
