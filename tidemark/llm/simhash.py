@@ -13,7 +13,7 @@ An anchor holds distinct fingerprints only, and these lie in a ball of that radi
 Texts of a given shingle similarity lie too many bits apart for one covering: at 0.8, some 10 of
 64 bits. near_copies() finds them by fingerprints of 16 blocks of 32 bits. The lower 31 bits of
 each block have anchors of their own (the Hamming code [31, 26]); texts meet where a block is
-within 2 bits; the whole 512 bits tell the candidates, and their shingles decide.
+within 2 bits. There the whole 512 bits tell the candidates, and their shingles decide.
 """
 
 from __future__ import annotations
@@ -34,10 +34,13 @@ from tidemark.llm.common import components, cut, small_batches, type_of
 CODE_BITS = 63
 COVERING_RADIUS = 1
 BLOCKS, BLOCK_BITS = 16, 31
-_MEMBER = np.dtype([("anchor", "<u4"), ("block", "<u4"), ("check", "<u4"), ("point", "<i8")])
-#: At similarity 0.8 two texts differ in 5 of 32 bits on average, in over 12 once in 2,000 times.
-_MOST_CHECK = 12
-_SLICE_BYTES = 32 << 20
+#: 64-bit words of a wide fingerprint.
+WIDE = 8
+#: Anchors of more members than this are searched one by one; of fewer, all at once.
+_SMALL = 64
+#: Beyond so many close pairs for each member, an anchor's members are searched again by components.
+_MANY = 8
+_SLICE_BYTES = 4 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -193,8 +196,8 @@ def shingles(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """BLOCKS * 4 bytes: the SimHash of distinct shingles over as many 64-bit hashes of each as that takes."""
-    wide, block = BLOCKS // 2, 1 << 13
+    """WIDE * 8 bytes: the SimHash of distinct shingles over as many 64-bit hashes of each as that takes."""
+    wide, block = WIDE, 1 << 13
     counts = np.zeros(64 * wide, dtype=np.int64)
     turns = np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for start in range(0, len(hashes), block):
@@ -207,90 +210,148 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
-def most_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint in which two texts of a Jaccard similarity differ, and two deviations more."""
-    p, size = math.acos(2 * similarity / (1 + similarity)) / math.pi, 32 * BLOCKS
-    return round(size * p + 2 * math.sqrt(size * p * (1 - p)))
+def bits_apart(similarity: float, deviations: float, size: int = 64 * WIDE) -> int:
+    """Of size bits, those in which two texts of a Jaccard similarity differ, and some deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(size * p + deviations * math.sqrt(size * p * (1 - p)))
 
 
-def _stars(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ties, leaders) of an anchor's members: each member not far from a leader is tied to it."""
-    found, leaders = [], []
-    while len(members):
-        head, members = members[0], members[1:]
-        near = (np.bitwise_count(members["block"] ^ head["block"]) <= 2) & (np.bitwise_count(members["check"] ^ head["check"]) <= _MOST_CHECK)
-        tied = members["point"][near]
-        if len(tied):
-            found.append(np.stack([tied, np.full(len(tied), head["point"])], axis=1))
-        leaders.append(head)
-        members = members[~near]
-    return (np.concatenate(found) if found else np.zeros((0, 2), np.int64)), np.array(leaders, dtype=_MEMBER)
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def _candidates(points: DataFrame) -> DataFrame:
-    """Distinct (u, v) of points (point, fp) that meet at an anchor of some block, as stars.
+def _clusters(fp: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leader of each, number of its cluster): members within `sure` bits of a leader are its cluster."""
+    leader, number, todo, n = np.arange(len(fp)), np.zeros(len(fp), dtype=np.int64), np.arange(len(fp)), 0
+    while len(todo):
+        close = _apart(fp[todo], fp[todo[0]]) <= sure
+        leader[todo[close]], number[todo[close]] = todo[0], n
+        todo, n = todo[~close], n + 1
+    return leader, number
 
-    Members go to slices of anchors, as many as keep a slice of them within _SLICE_BYTES; a slice
-    is worked off in such portions, and of each anchor only leaders stay for the next one. So
-    copies of one text, however many, don't pile up in a task.
+
+def _across(fp: np.ndarray, label: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) of all pairs of different labels at most bits apart; equal labels stand together."""
+    runs = np.r_[np.flatnonzero(label[1:] != label[:-1]) + 1, len(label)]
+    for i, end in enumerate(runs[np.searchsorted(runs, np.arange(len(label)), side="right")].tolist()):
+        near = np.flatnonzero(_apart(fp[end:], fp[i]) <= most)
+        if len(near):
+            yield i, near + end
+
+
+def _forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs at most bits apart, of the least distances (Prim)."""
+    us, vs, rest = [], [], np.arange(1, len(fp))
+    least, parent = _apart(fp[1:], fp[0]), np.zeros(len(fp) - 1, dtype=np.int64)
+    while len(rest):
+        k = int(np.argmin(least))
+        at = rest[k]
+        if least[k] <= most:
+            us.append(at)
+            vs.append(parent[k])
+        rest[k], least[k], parent[k] = rest[-1], least[-1], parent[-1]
+        rest, least, parent = rest[:-1], least[:-1], parent[:-1]
+        d = _apart(fp[rest], fp[at])
+        closer = d < least
+        least[closer], parent[closer] = d[closer], at
+    return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
+
+
+def _met(members: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v) of an anchor's members that may be as similar, none left out but what the labels join.
+
+    Without labels, an anchor of very many such pairs gives a forest of them, and each of its
+    members as (u, u): these are to be searched again, with their components as labels.
+    """
+    most, sure, early = bits_apart(similarity, 3), bits_apart(similarity, -4), bits_apart(similarity, 4, 128)
+    labelled = "label" in members.dtype.names
+    order = (members["point"], members["fp"][:, 0], members["anchor"])
+    members = members[np.lexsort((order[0], order[1], members["label"], order[2]) if labelled else order)]
+    starts = np.flatnonzero(np.r_[True, members["anchor"][1:] != members["anchor"][:-1]])
+    sizes = np.diff(np.r_[starts, len(members)])
+    few = members[np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)]
+    anchor, fp, head = few["anchor"], np.ascontiguousarray(few["fp"]), np.ascontiguousarray(few["fp"][:, :2])
+    for step in range(1, _SMALL):
+        i = np.flatnonzero(anchor[step:] == anchor[:-step])
+        if not len(i):
+            break
+        i = i[_apart(head[i], head[i + step]) <= early]
+        i = i[_apart(fp[i], fp[i + step]) <= most]
+        if labelled:
+            i = i[few["label"][i] != few["label"][i + step]]
+        yield few["point"][i], few["point"][i + step]
+    for a, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+        own, fp = members["point"][a : a + n], np.ascontiguousarray(members["fp"][a : a + n])
+        if labelled:
+            for i, js in _across(fp, members["label"][a : a + n], most):
+                yield np.full(len(js), own[i]), own[js]
+            continue
+        leader, number = _clusters(fp, sure)
+        order = np.argsort(number, kind="stable")
+        pairs, count = [], 0
+        for i, js in _across(fp[order], number[order], most):
+            pairs.append((np.full(len(js), own[order[i]]), own[order[js]]))
+            count += len(js)
+            if count > _MANY * n:
+                break
+        if count > _MANY * n:
+            u, v = _forest(fp, most)
+            yield own[u], own[v]
+            yield own, own
+        else:
+            tied = leader != np.arange(n)
+            yield own[tied], own[leader[tied]]
+            yield from pairs
+
+
+def _candidates(points: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v) of points (point, fp and, if any, label) that meet at an anchor of some block, by _met().
+
+    Members go to slices of anchors, some _SLICE_BYTES each. A slice is held whole, as each of
+    its anchors is.
     """
-    each = 16 * _MEMBER.itemsize  # a block has 15.5 anchors on average
-    slices = max(1, math.ceil(points.count() * each / _SLICE_BYTES))
+    labelled = ["label"] if "label" in points.columns else []
+    member = np.dtype([("anchor", "<u4"), *((c, "<i8") for c in ("point", *labelled)), ("fp", "<u8", (WIDE,))])
+    slices = max(1, math.ceil(points.count() * 16 * member.itemsize / _SLICE_BYTES))  # a block has 15.5 anchors on average
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 8192):
                 part = batch.slice(a, 8192)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                blocks = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u4").reshape(-1, BLOCKS)
-                at, data = [], []
+                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u8").reshape(-1, WIDE)
+                blocks = fps.view("<u4").astype(np.uint64)
                 for b in range(BLOCKS):
-                    near, which = anchors(blocks[:, b].astype(np.uint64), COVERING_RADIUS + 1, BLOCK_BITS)
-                    own = np.empty(len(near), dtype=_MEMBER)
-                    own["anchor"], own["block"] = near, blocks[which, b] & np.uint32((1 << BLOCK_BITS) - 1)
-                    own["check"], own["point"] = blocks[which, (b + 1) % BLOCKS], ids[which]
+                    near, which = anchors(blocks[:, b], COVERING_RADIUS + 1, BLOCK_BITS)
+                    own = np.empty(len(near), dtype=member)
+                    own["anchor"], own["fp"] = near, fps[which]
+                    for c, name in enumerate(labelled, 2):
+                        own[name] = part.column(c).to_numpy(zero_copy_only=False)[which]
+                    own["point"] = part.column(0).to_numpy(zero_copy_only=False)[which]
                     part_of = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(slices)
                     order = np.argsort(part_of, kind="stable")
                     where, first = np.unique(part_of[order], return_index=True)
-                    for s, group in zip(where.tolist(), np.split(own[order], first[1:]), strict=True):
-                        at.append(b * slices + s)
-                        data.append(group.tobytes())
-                yield pa.record_batch([pa.array(at, pa.int64()), pa.array(data, pa.binary())], names=["slice", "members"])
+                    data = [x.tobytes() for x in np.split(own[order], first[1:])]
+                    yield pa.record_batch([pa.array(where.astype(np.int64) + b * slices), pa.array(data, pa.binary())], names=["slice", "members"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, size = None, [], 0
-
-        def ties(members: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-            members = np.sort(members, order=["anchor", "point"])
-            starts = np.flatnonzero(np.r_[True, members["anchor"][1:] != members["anchor"][:-1]])
-            ends = np.r_[starts[1:], len(members)]
-            several = ends - starts > 1
-            alone = members[starts[~several]]
-            found, left = [np.zeros((0, 2), np.int64)], [alone]
-            for a, z in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                own, leaders = _stars(members[a:z])
-                found.append(own)
-                left.append(leaders)
-            return np.unique(np.concatenate(found), axis=0), left
-
-        def told(found: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+        now, held = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for u, v in _met(np.concatenate(held), similarity):
+                yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
         for batch in batches:
             for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and (s != now or size > 2 * _SLICE_BYTES):
-                    found, left = ties(np.concatenate(held))
-                    yield told(found)
-                    held, size = (left, 0) if s == now else ([], 0)
+                if held and s != now:
+                    yield from told()
+                    held = []
                 now = s
-                held.append(np.frombuffer(data, dtype=_MEMBER))
-                size += len(data)
+                held.append(np.frombuffer(data, dtype=member))
         if held:
-            yield told(ties(np.concatenate(held))[0])
+            yield from told()
 
-    met = small_batches(points.select("point", "fp")).mapInArrow(replicate, "slice long, members binary")
-    pairs = met.repartition("slice").sortWithinPartitions("slice").mapInArrow(compare, "u long, v long")
-    return pairs.where("u <> v").distinct()
+    met = small_batches(points.select("point", "fp", *labelled)).mapInArrow(replicate, "slice long, members binary")
+    return met.repartition("slice").sortWithinPartitions("slice").mapInArrow(compare, "u long, v long").distinct()
 
 
 def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -329,14 +390,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, mark binary, fp binary, grams binary")
     marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))  # written, so that numbers hold
     points = cut(marked.groupBy("mark", "fp").agg(F.min(id_col).alias("least"), F.min("row").alias("point")))
-    word = lambda i: F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long")
-    bits = points.select("point", F.array(*[word(i) for i in range(BLOCKS // 2)]).alias("bits"))
-    one, two = bits.toDF("u", "a"), bits.toDF("v", "b")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    edges = cut(_candidates(points).join(one, "u").join(two, "v").where(apart <= most_bits(similarity)).select("u", "v"))
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    sets = marked.select("row", "grams").join(nodes, "row")
-    same = components(_similar(edges, sets, similarity)).withColumnRenamed("node", "point")
+
+    def checked(candidates: DataFrame) -> DataFrame:
+        nodes = candidates.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+        return cut(_similar(candidates, marked.select("row", "grams").join(nodes, "row"), similarity))
+
+    found = cut(_candidates(points, similarity))
+    edges = checked(found.where("u <> v"))
+    same = components(edges).withColumnRenamed("node", "point")
+    again = points.join(found.where("u = v").select(F.col("u").alias("point")), "point")
+    again = cut(again.join(same, "point", "left").select("point", "fp", F.coalesce("component", "point").alias("label")))
+    if not again.isEmpty():
+        edges = edges.union(checked(cut(_candidates(again, similarity))))
+        same = components(edges).withColumnRenamed("node", "point")
     placed = points.join(same, "point", "left").select("mark", "least", F.coalesce("component", "point").alias("component"))
     roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.select(id_col, "mark").join(placed.join(roots, "component").select("mark", "component_id"), "mark").select(id_col, "component_id")
