@@ -311,6 +311,21 @@ def test_decontamination_recall_and_edits(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_at_the_most_edits():
+    """Passages of each length at a full 20 % of edits of each kind are all found."""
+    rng = random.Random(13)
+    for n in (15, 40, 50):
+        items = [[b"i%d" % rng.randrange(3000) for _ in range(n)] for _ in range(60)]
+        index = decontaminate.Index(list(enumerate(items)))
+        for kind in ("delete", "insert", "replace"):
+            for key, own in enumerate(items):
+                w = list(own)
+                for e in sorted(rng.sample(range(n), n // 5), reverse=True):
+                    w[e : e + (kind != "insert")] = [b"edit%d" % e] * (kind != "delete")
+                text = [b"f%d" % i for i in range(70)] + w + [b"g%d" % i for i in range(70)]
+                assert levenshtein(own, text) in [d for k, _, d in index.matches(b" ".join(text)) if k == key]
+
+
 PATTERNS = [
     ("assign", re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),

@@ -3,7 +3,8 @@
 Windows of each item's size are embedded by the CGK random walk (Chakraborty, Goldenberg and
 Koucky 2016), which turns edit distance into Hamming distance; samples of the embedding's
 positions are the keys of a repeated LSH, and each window that shares a key with an item is
-verified by its exact edit distance. The number of repetitions follows from the recall asked for.
+verified by its exact edit distance. Beside it, each item that shares as many word pairs with a
+window as it must is verified too, so that no item depends on the samples' luck.
 
 Only windows that can hold an item are embedded: an edit destroys at most two of an item's word
 pairs, so a passage within k edits of n words keeps at least n - 1 - 2k of them. This test loses
@@ -85,6 +86,12 @@ class Index:
         #: The most times that an item has the same pair.
         self.twice = max((int(np.unique(np.array(list(zip(w, w[1:], strict=False))), axis=0, return_counts=True)[1].max()) for _, w in self.items if len(w) > 1), default=1)
         self.lengths = sorted({len(w) for _, w in self.items})
+        #: For each length: the numbers of its items' pairs in order, with the items that have them.
+        self.holders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in self.lengths:
+            both = [(a * self.size + b, i) for i, (_, w) in enumerate(self.items) if len(w) == n for a, b in set(zip(w, w[1:], strict=False))]
+            code, who = np.array(sorted(both), dtype=np.int64).reshape(-1, 2).T
+            self.holders[n] = (np.searchsorted(self.pairs, code), who)
         longest = max(self.lengths, default=0)
         rng = np.random.default_rng(seed)
         self.bits = rng.integers(0, 2, (walks, 2 * longest, self.size + 1), dtype=np.uint8)
@@ -139,6 +146,7 @@ class Index:
         for n in self.lengths:
             k = edits_allowed(n, self.rate)
             need = n - 1 - 2 * k
+            shared: dict[int, set[int]] = defaultdict(set)
             if need < 1:  # items of a few words: every known word can start one
                 some = np.flatnonzero(ids > 0)
             else:
@@ -147,11 +155,13 @@ class Index:
                     continue
                 some = at[np.searchsorted(at, at + n + k) - np.arange(len(at)) >= need]
                 some = self._varied(codes, at, some, n + k, need)
+                if len(some):
+                    shared = self._shared(n, k, codes, at, some)
             if not len(some):
                 continue
             starts = np.unique((some[:, None] - np.arange(2 * k + 1)[None, :]).ravel())
             starts = starts[starts >= 0]
-            found += self._verified(n, k, ids, starts)
+            found += self._verified(n, k, ids, starts, shared)
         return sorted(found, key=lambda x: (x[1], str(x[0])))
 
     def _varied(self, codes: np.ndarray, at: np.ndarray, some: np.ndarray, size: int, need: int) -> np.ndarray:
@@ -169,9 +179,27 @@ class Index:
             good.append(part[counted.sum(axis=1) >= need])
         return np.concatenate(good)
 
-    def _verified(self, n: int, k: int, ids: np.ndarray, starts: np.ndarray) -> list[tuple[Any, int, int]]:
-        chosen, table, owners = self.classes[n]
+    def _shared(self, n: int, k: int, codes: np.ndarray, at: np.ndarray, some: np.ndarray) -> dict[int, set[int]]:
+        """Starts by item, of windows from `some` in which the item has as many pairs as k edits must leave."""
+        number, who = self.holders[n]
         seen: dict[int, set[int]] = defaultdict(set)
+        last = some[np.maximum(np.searchsorted(some, at, side="right") - 1, 0)]
+        at = at[(last <= at) & (at < last + n + k)]  # all others are in no window
+        low, high = np.searchsorted(number, codes[at]), np.searchsorted(number, codes[at], side="right")
+        counts = high - low
+        item = who[np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        place = np.repeat(at, counts)
+        order = np.lexsort((place, item))
+        item, place, need = item[order], place[order], n - 1 - 2 * k
+        i = np.arange(max(0, len(item) - need + 1))
+        enough = (item[i] == item[i + need - 1]) & (place[i + need - 1] < place[i] + n + k)
+        for j, s in zip(item[i[enough]].tolist(), place[i[enough]].tolist(), strict=True):
+            seen[j] |= {max(0, s - 2 * k), s}  # a passage begins at most 2 k words before its first whole pair
+        return seen
+
+    def _verified(self, n: int, k: int, ids: np.ndarray, starts: np.ndarray, seen: dict[int, set[int]]) -> list[tuple[Any, int, int]]:
+        """The items that are held, of those seen and those that the LSH finds at the starts."""
+        chosen, table, owners = self.classes[n]
         long = np.concatenate([ids, np.full(n, self.size)])
         for b in range(0, len(starts), 4096):
             part = starts[b : b + 4096]
