@@ -359,6 +359,14 @@ def test_secrets_base_spans_and_owners(spark):
     assert secrets.secret_scan(docs).count() == secrets.redact(docs).count() == docs.count() and secrets.secret_scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_a_document_copied_to_other_sources(spark):
+    """A secret that stands in a few sources is no public example: it counts as live and is masked."""
+    own = "c3" * 20
+    docs = spark.createDataFrame([(i, f"my {own} is", "en", f"s{i}") for i in range(4)], "doc_id long, text string, lang string, source string")
+    assert {(r["n_live"], r["n_shared"]) for r in secrets.secret_scan(docs).collect()} == {(1, 0)}
+    assert {r["text"] for r in secrets.redact(docs).collect()} == {"my [SECRET] is"}
+
+
 def test_licenses_found_and_unknown(spark):
     lines = {1: "Released under the MIT License.", 2: "Licensed under the Apache License, Version 2.0.", 3: "No licence is needed to drive this bicycle today", 4: None, 5: "", 6: "Copyright stays with whoever wrote it down first"}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-k, t if t is None else f"Some words here.\n{t}") for k, t in lines.items()], "doc_id long, text string"))

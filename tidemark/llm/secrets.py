@@ -1,7 +1,7 @@
 """Secret scans: spans of likely credentials, and who owns each value across the corpus.
 
-A value that many owners or repositories hold is a copied example; one that a single owner
-holds looks live. Ownership is counted over hashes of the values, in two steps: distinct
+A value that many owners or repositories hold is a copied example; one that few hold looks live,
+as a document copied to a few other sources takes its secret along. Ownership is counted over hashes of the values, in two steps: distinct
 (value, repository, owner) first, then counts for each value, so that a value in a third of all
 documents is summed before it moves. Values themselves never leave the scan.
 """
@@ -76,7 +76,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFr
     return small_batches(docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("_text"))).mapInArrow(run, schema)
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 1, most_repos: int = 3) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 4, most_repos: int = 4) -> DataFrame:
     """One row for each row of docs: id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared.
 
     n_live counts spans whose value at most most_owners owners and most_repos repositories hold in
@@ -106,7 +106,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_shared", zero).alias("n_shared"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 1, most_repos: int = 3, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 4, most_repos: int = 4, mask: str = "[SECRET]") -> DataFrame:
     """docs with the values of live-looking spans replaced by mask; all rows and columns stay.
 
     Which values are live is decided over the whole corpus as in secret_scan(). Only hashes move
