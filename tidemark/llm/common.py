@@ -29,6 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of what has been cut() and is no longer in use."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
     """df; bounds the bytes of an Arrow batch, so that long texts don't pile up in a Python worker."""
     df.sparkSession.conf.set(_BATCH_BYTES, str(size))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, small_batches, type_of
+from tidemark.llm.common import components, cut, free, small_batches, type_of
 
 CODE_BITS = 63
 COVERING_RADIUS = 1
@@ -395,22 +395,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             found = [shingles(texts[i].as_py(), shingle) for i in range(len(texts))]
-            grams = [x.tobytes() for x in found]
-            columns = [[xxhash.xxh3_128_digest(x) for x in grams], [wide_fingerprint(x) for x in found], grams]
-            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.binary()) for x in columns)], names=[id_col, "mark", "fp", "grams"])
+            columns = [[xxhash.xxh3_128_digest(x.tobytes()) for x in found], [wide_fingerprint(x) for x in found]]
+            yield pa.record_batch([*batch.columns[:2], *(pa.array(x, pa.binary()) for x in columns)], names=[id_col, "tag", "mark", "fp"])
 
-    source = small_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")))
-    marked = source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, mark binary, fp binary, grams binary")
+    def again_shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2)
+            found = [shingles(texts[i].as_py(), shingle).tobytes() for i in range(len(texts))]
+            same = pa.array([xxhash.xxh3_128_digest(x) == m.as_py() for x, m in zip(found, batch.column(1), strict=True)], pa.bool_())
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["point", "grams"]).filter(same)
+
+    text = F.col(text_col).cast("binary")
+    source = small_batches(docs.select(F.col(id_col), F.xxhash64(text).alias("tag"), text.alias("text")))
+    marked = source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, tag long, mark binary, fp binary")
     marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))  # written, so that numbers hold
-    points = cut(marked.groupBy("mark", "fp").agg(F.min(id_col).alias("least"), F.min("row").alias("point")))
+    rep = F.min(F.struct(F.col(id_col).alias("id"), "tag", "row"))  # the row whose text stands for the shingles
+    points = marked.groupBy("mark", "fp").agg(F.min(id_col).alias("least"), rep.alias("rep"))
+    points = cut(points.select("mark", "fp", "least", F.col("rep.id").alias("_id"), F.col("rep.tag").alias("_tag"), F.col("rep.row").alias("point")))
 
     def checked(candidates: DataFrame) -> DataFrame:
-        nodes = candidates.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-        return cut(_similar(candidates, marked.select("row", "grams").join(nodes, "row"), similarity))
+        # Shingles take more room than texts, so they are made again, of candidates only.
+        nodes = candidates.select(F.explode(F.array("u", "v")).alias("point")).distinct()
+        named = points.join(nodes, "point").select("point", "mark", "_id", "_tag")
+        texts = source.join(named, F.col("tag").eqNullSafe(F.col("_tag")) & F.col(id_col).eqNullSafe(F.col("_id"))).select("point", "mark", "text")
+        sets = cut(small_batches(texts.dropDuplicates(["point"])).mapInArrow(again_shingled, "point long, grams binary"))
+        free(docs.sparkSession)
+        return cut(_similar(candidates, sets, similarity))
 
     found = cut(_candidates(points, similarity))
+    free(docs.sparkSession)
     edges = checked(found.where("u <> v"))
     same = components(edges).withColumnRenamed("node", "point")
     again = points.join(found.where("u = v").select(F.col("u").alias("point")), "point")
