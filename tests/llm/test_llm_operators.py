@@ -85,7 +85,7 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     near = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     assert (near[1], near[2], near[3], near[10], near[4], near[5], near[6], near[7], near[None]) == (1, 1, 1, 1, 4, 4, 4, 7, 7)
-    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).where("doc_id is not null").collect())
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
     assert kept == sorted(set(near.values())) and simhash.keep_one(docs).columns == docs.columns
     assert simhash.near_copies(docs.limit(0)).count() == simhash.keep_one(docs.limit(0)).count() == 0
 
@@ -120,8 +120,8 @@ def test_near_copies_against_shingle_similarity(spark):
 
 
 def test_near_copies_of_a_group_over_many_portions(spark, monkeypatch):
-    """Leaders carry an anchor from one portion of a slice to the next."""
-    monkeypatch.setattr(simhash, "_SLICE_BYTES", 2000)
+    """A leader meets the members of its anchor in parts."""
+    monkeypatch.setattr(simhash, "_PART", 7)
     rng = random.Random(9)
     base = [f"w{rng.randrange(500)}" for _ in range(400)]
     rows = [(i, " ".join(base[:-1] + [f"own{i}"])) for i in range(200)] + [(1000 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(60))) for i in range(50)]
@@ -155,6 +155,32 @@ def test_near_copies_among_texts_of_one_template(spark):
     assert sum(got[1000 + i] == i for i in range(150)) >= 147
 
 
+def test_near_copies_of_a_large_template(spark):
+    """10,000 texts 0.5 alike, and 200 pairs at 0.85 among them; anchors of over 300 members are dealt anew."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(64)]
+    rows = [(i, planted(rng, base, 20)) for i in range(10_000)]
+    rows += [(100_000 + i, planted(rng, rows[i][1], 5)) for i in range(200)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, most_direct=300).collect()}
+    assert all(got[i] == i for i in range(10_000)) and sum(got[100_000 + i] == i for i in range(200)) >= 190
+
+
+def test_near_copies_around_a_text_that_is_not_the_least(spark):
+    """Copies that are alike only by way of their original are one group."""
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+    rows = []
+    for i in range(400):  # each alters words of its own: 0.85 of the original, some 0.73 of each other
+        w = list(base)
+        for at in rng.sample(range(0, 200, 5), 3):
+            w[at] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    rows.append((900, " ".join(base)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_near_copies_at_the_threshold(spark):
     """Of pairs that are 0.80 to 0.82 alike, 98 % are found; of those just below 0.8 none is."""
     rng = random.Random(12)

@@ -13,10 +13,12 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -62,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = cut(distinct(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     seen = None
-    while True:
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every greater neighbour is tied to the least node of the neighbourhood.

@@ -11,15 +11,15 @@ An anchor holds distinct fingerprints only, and these lie in a ball of that radi
 4,034 for t = 2, however many copies the corpus has. No list of pairs of documents is built.
 
 Texts of a given shingle similarity lie too many bits apart for one covering: at 0.8, some 10 of
-64 bits. near_copies() finds them by fingerprints of 512 bits and 64 blocks of 22 bits of these.
-A block's first 15 and last 7 bits each lie within covering radius 1 of one anchor (the Hamming
-codes [15, 11] and [7, 4]); texts meet where they share both, as those of 0.8 do in 9 % of the
-blocks. There the whole 512 bits tell the candidates, and their shingles decide.
+64 bits, and radii like that replicate a fingerprint to most of the code. near_copies() therefore
+takes SimHashes of small samples of the shingles: each block orders the shingles in its own way
+and fingerprints the least of them, so that near copies often have the very same fingerprint,
+which a threshold of 0 and the covering radius bring to one anchor. Shingle sets decide there.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -34,14 +34,15 @@ from tidemark.llm.common import components, cut, free, small_batches, type_of
 
 CODE_BITS = 63
 COVERING_RADIUS = 1
-BLOCKS, CODES = 64, (15, 7)
-#: 64-bit words of a wide fingerprint.
-WIDE = 8
-#: Anchors of more members than this are searched one by one; of fewer, all at once.
-_SMALL = 64
-#: Beyond so many close pairs for each member, an anchor's members are searched again by components.
-_MANY = 8
-_SLICE_BYTES = 4 << 20
+#: Shingles in a sample, and blocks: of pairs at 0.8, 1 - (1 - 0.8 ** 3) ** 12 = 0.9998 meet.
+SAMPLES = (3, 12)
+#: The same for anchors that very many texts share: 0.99 of pairs at 0.8 meet, 0.0016 of those at 0.3.
+MORE_SAMPLES = (8, 25)
+#: Texts that are compared with each other in one task: their number and bytes.
+_PART, _PART_BYTES = 256, 4 << 20
+#: Bytes that are hashed together, columns of a product of sets, and what rounding may take.
+_LONG, _COLUMNS, _EPS = 1 << 20, 4096, 1e-9
+_SPACE, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -188,262 +189,324 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_point, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: bytes | None, shingle: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's word shingles, in order; a shorter text is one shingle."""
-    words = text.lower().split() if text else []
-    n = max(1, len(words) - shingle + 1) if words else 0
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(n)), dtype=np.uint64, count=n))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """WIDE * 8 bytes: the SimHash of distinct shingles over as many 64-bit hashes of each as that takes."""
-    wide, block = WIDE, 1 << 13
-    counts = np.zeros(64 * wide, dtype=np.int64)
-    turns = np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for start in range(0, len(hashes), block):
-        with np.errstate(over="ignore"):  # a hash is mixed anew for each word of the fingerprint
-            h = hashes[start : start + block, None] + turns[None, :]
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-        counts += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
-    return np.packbits(2 * counts > len(hashes)).tobytes()
-
-
-def bits_apart(similarity: float, deviations: float, size: int = 64 * WIDE) -> int:
-    """Of size bits, those in which two texts of a Jaccard similarity differ, and some deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(size * p + deviations * math.sqrt(size * p * (1 - p)))
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
-
-
-def _clusters(fp: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leader of each, number of its cluster): members within `sure` bits of a leader are its cluster."""
-    leader, number, todo, n = np.arange(len(fp)), np.zeros(len(fp), dtype=np.int64), np.arange(len(fp)), 0
-    while len(todo):
-        close = _apart(fp[todo], fp[todo[0]]) <= sure
-        leader[todo[close]], number[todo[close]] = todo[0], n
-        todo, n = todo[~close], n + 1
-    return leader, number
-
-
-def _across(fp: np.ndarray, label: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js) of all pairs of different labels at most bits apart; equal labels stand together."""
-    runs = np.r_[np.flatnonzero(label[1:] != label[:-1]) + 1, len(label)]
-    for i, end in enumerate(runs[np.searchsorted(runs, np.arange(len(label)), side="right")].tolist()):
-        near = np.flatnonzero(_apart(fp[end:], fp[i]) <= most)
-        if len(near):
-            yield i, near + end
-
-
-def _forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the pairs at most bits apart, of the least distances (Prim)."""
-    us, vs, rest = [], [], np.arange(1, len(fp))
-    least, parent = _apart(fp[1:], fp[0]), np.zeros(len(fp) - 1, dtype=np.int64)
-    while len(rest):
-        k = int(np.argmin(least))
-        at = rest[k]
-        if least[k] <= most:
-            us.append(at)
-            vs.append(parent[k])
-        rest[k], least[k], parent[k] = rest[-1], least[-1], parent[-1]
-        rest, least, parent = rest[:-1], least[:-1], parent[:-1]
-        d = _apart(fp[rest], fp[at])
-        closer = d < least
-        least[closer], parent[closer] = d[closer], at
-    return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
-
-
-def _met(members: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(u, v) of an anchor's members that may be as similar, none left out but what the labels join.
-
-    Without labels, an anchor of very many such pairs gives a forest of them, and each of its
-    members as (u, u): these are to be searched again, with their components as labels.
-    """
-    most, sure, early = bits_apart(similarity, 3), bits_apart(similarity, -4), bits_apart(similarity, 4, 128)
-    labelled = "label" in members.dtype.names
-    order = (members["point"], members["fp"][:, 0], members["anchor"])
-    members = members[np.lexsort((order[0], order[1], members["label"], order[2]) if labelled else order)]
-    starts = np.flatnonzero(np.r_[True, members["anchor"][1:] != members["anchor"][:-1]])
-    sizes = np.diff(np.r_[starts, len(members)])
-    few = members[np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)]
-    anchor, fp, head = few["anchor"], np.ascontiguousarray(few["fp"]), np.ascontiguousarray(few["fp"][:, :2])
-    for step in range(1, _SMALL):
-        i = np.flatnonzero(anchor[step:] == anchor[:-step])
-        if not len(i):
+# --- Texts of a given shingle similarity -------------------------------------------------------
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes mixed once more (the finaliser of SplitMix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, both modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    one = np.ones(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.concatenate([one, np.full(size, x, dtype=np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
+    return up, down
+
+
+def _shingle_hashes(raw: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every word shingle of documents that lie end to end, each ended by a space."""
+    up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
+    inner = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    change = np.flatnonzero(np.diff(np.concatenate([[False], inner, [False]]).view(np.int8)))
+    starts, ends = change[::2], change[1::2]
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
+        word = _mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        doc = np.searchsorted(bounds, starts, side="right") - 1
+        n = len(word)
+        size = np.minimum(np.bincount(doc, minlength=len(bounds) - 1), shingle)[doc]  # a shorter text is one shingle
+        at = np.arange(n)
+        whole = at + size <= n
+        whole[whole] = doc[(at + size - 1)[whole]] == doc[whole]
+        room = np.concatenate([word, np.zeros(shingle, np.uint64)])
+        out = np.zeros(n, dtype=np.uint64)
+        for k in range(shingle):
+            out = np.where(k < size, out + room[k : k + n] * np.uint64(2 * (k + 7) ** 9 + 1), out)
+    return doc[whole], _mixed(out[whole])
+
+
+def _segments(text: bytes, shingle: int) -> Iterator[bytes]:
+    """A long text in parts that share shingle - 1 words, so that each shingle is whole in some part."""
+    at = 0
+    while len(text) - at > _LONG:
+        end = _SPACE.search(text, at + _LONG)
+        if end is None:
             break
-        i = i[_apart(head[i], head[i + step]) <= early]
-        i = i[_apart(fp[i], fp[i + step]) <= most]
-        if labelled:
-            i = i[few["label"][i] != few["label"][i + step]]
-        yield few["point"][i], few["point"][i + step]
-    for a, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        own, fp = members["point"][a : a + n], np.ascontiguousarray(members["fp"][a : a + n])
-        if labelled:
-            for i, js in _across(fp, members["label"][a : a + n], most):
-                yield np.full(len(js), own[i]), own[js]
+        part = text[at : end.start()]
+        yield part
+        words = [m.start() for m in _WORD.finditer(part, max(0, len(part) - 4096))][1 - shingle :]
+        # Words of hundreds of letters: the last ones are sought in the whole part.
+        words = words if len(words) == shingle - 1 and len(part) > 4096 else [m.start() for m in _WORD.finditer(part)][1 - shingle :]
+        at = at + words[0] if len(words) == shingle - 1 and words[0] > 0 else end.start()
+    yield text[at:]
+
+
+def shingle_sets(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
+    """For each text the distinct 64-bit hashes of its word shingles, in order (A-Z in lower case)."""
+    at = 0
+    while at < len(texts):
+        if len(texts[at] or b"") > 2 * _LONG:
+            parts = [next(shingle_sets([x], shingle)) for x in _segments(texts[at], shingle)]
+            yield np.unique(np.concatenate(parts))
+            at += 1
             continue
-        leader, number = _clusters(fp, sure)
-        order = np.argsort(number, kind="stable")
-        pairs, count = [], 0
-        for i, js in _across(fp[order], number[order], most):
-            pairs.append((np.full(len(js), own[order[i]]), own[order[js]]))
-            count += len(js)
-            if count > _MANY * n:
-                break
-        if count > _MANY * n:
-            u, v = _forest(fp, most)
-            yield own[u], own[v]
-            yield own, own
-        else:
-            tied = leader != np.arange(n)
-            yield own[tied], own[leader[tied]]
-            yield from pairs
-
-
-def _block_anchors(fps: np.ndarray) -> Iterator[np.ndarray]:
-    """For each block, the anchors of all fingerprints as one number."""
-    rng, size = np.random.default_rng(5), sum(CODES)
-    rounds = -(-BLOCKS // (64 * WIDE // size))  # blocks of one round have no bit in common
-    chosen = np.concatenate([rng.permutation(64 * WIDE)[: 64 * WIDE // size * size].reshape(-1, size) for _ in range(rounds)])
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
-    for block in chosen[:BLOCKS]:
-        number, at = np.zeros(len(fps), dtype=np.uint64), 0
-        for code in CODES:
-            part = bits[:, block[at : at + code]] @ (np.uint64(1) << np.arange(code, dtype=np.uint64))
-            near, which = anchors(part, COVERING_RADIUS, code)
-            number[which] |= near << np.uint64(at)
-            at += code
-        yield number
-
-
-def _candidates(points: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v) of points (point, fp and, if any, label) that meet at an anchor of some block, by _met().
-
-    Members go to slices of anchors, some _SLICE_BYTES each. A slice is held whole, as each of
-    its anchors is.
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or b"") <= _LONG) and len(texts[end] or b"") <= 2 * _LONG:
+            size += len(texts[end] or b"")
+            end += 1
+        data = b" ".join([*(t or b"" for t in texts[at:end]), b""]).lower()
+        bounds = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts[at:end]])])
+        doc, h = _shingle_hashes(np.frombuffer(data, dtype=np.uint8), bounds, shingle)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+        doc, h = doc[new], h[new]
+        cuts = np.searchsorted(doc, np.arange(end - at + 1))
+        yield from (h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        at = end
+
+
+def sampled_anchors(sets: list[np.ndarray], samples: int, blocks: int, seed: int = 1) -> np.ndarray:
+    """texts x blocks: the anchor of each block's fingerprint, and the block, as one number.
+
+    A block's fingerprint is the SimHash of the shingles that are least under `samples` orders of
+    its own, so texts of similarity s share it with a chance of s ** samples, whatever their length.
+    Anchors: the words of the code [63, 57] within covering radius and a threshold of 0. Wordless
+    texts have the fingerprint 0.
     """
-    labelled = ["label"] if "label" in points.columns else []
-    member = np.dtype([("anchor", "<u4"), *((c, "<i8") for c in ("point", *labelled)), ("fp", "<u8", (WIDE,))])
-    slices = max(1, math.ceil(points.count() * member.itemsize / _SLICE_BYTES))
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 8192):
-                part = batch.slice(a, 8192)
-                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u8").reshape(-1, WIDE)
-                own = np.empty(len(fps), dtype=member)
-                own["fp"], own["point"] = fps, part.column(0).to_numpy(zero_copy_only=False)
-                for c, name in enumerate(labelled, 2):
-                    own[name] = part.column(c).to_numpy(zero_copy_only=False)
-                for b, near in enumerate(_block_anchors(fps)):
-                    own["anchor"] = near
-                    part_of = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(slices)
-                    order = np.argsort(part_of, kind="stable")
-                    where, first = np.unique(part_of[order], return_index=True)
-                    data = [x.tobytes() for x in np.split(own[order], first[1:])]
-                    yield pa.record_batch([pa.array(where.astype(np.int64) + b * slices), pa.array(data, pa.binary())], names=["slice", "members"])
+    out = np.zeros((len(sets), blocks), dtype=np.uint64)
+    some = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
+    if len(some):
+        h = np.concatenate([sets[i] for i in some])
+        starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in some])[:-1]])
+        with np.errstate(over="ignore"):
+            for b in range(blocks):
+                turns = _mixed(np.arange(samples, dtype=np.uint64) + np.uint64((b + seed * 4096) * 64 + 1)) | np.uint64(1)
+                least = np.stack([np.minimum.reduceat(h * t, starts) for t in turns])
+                bits = np.unpackbits(_mixed(least).view(np.uint8).reshape(samples, -1, 8), axis=2).sum(axis=0, dtype=np.int64)
+                out[some, b] = np.packbits(2 * bits > samples, axis=1).reshape(-1).view(np.uint64)
+    near, which = anchors(out.ravel(), COVERING_RADIUS)
+    place = np.zeros(out.size, dtype=np.uint64)
+    place[which] = near
+    with np.errstate(over="ignore"):
+        return _mixed(place.reshape(out.shape) + _mixed(np.arange(blocks, dtype=np.uint64) + np.uint64(seed * 4096))[None, :])
+
+
+def _anchored(sets: list[np.ndarray], samples: int, blocks: int, seed: int) -> pa.Array:
+    return pa.array(sampled_anchors(sets, samples, blocks, seed).view(np.int64).tolist(), pa.list_(pa.int64()))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two ordered sets of hashes have at least that Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return not len(b)
+    if len(a) < similarity * len(b) - _EPS:
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both >= similarity * (len(a) + len(b) - both) - _EPS
+
+
+def _spanning(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of texts of different labels that are as similar; their links join all such pairs and labels."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    both = np.zeros((n, n), dtype=np.float32)
+    h, own = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(h, kind="stable")
+    h, own = h[order], own[order]
+    column = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+    often = np.bincount(column) > 1 if len(h) else np.zeros(0, bool)  # what one text has alone is in no intersection
+    column, own = (np.cumsum(often) - 1)[column[often[column]]], own[often[column]]
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [c, c + _COLUMNS])
+        part = np.zeros((n, _COLUMNS), dtype=np.float32)
+        part[own[a:b], column[a:b] - c] = 1
+        both += part @ part.T  # counts of at most _COLUMNS each: exact in float32 below 2^24
+    close = (both >= similarity * (sizes[:, None] + sizes[None, :] - both) - _EPS) & (label[:, None] != label[None, :])
+    np.fill_diagonal(close, False)
+    names, group = np.unique(label, return_inverse=True)
+    root, out = list(range(len(names))), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in np.argwhere(np.triu(close)).tolist():
+        a, b = top(int(group[i])), top(int(group[j]))
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for u, v in _met(np.concatenate(held), similarity):
-                yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """Runs of equal keys of sorted batches as (key, whether it goes on from the batch before, rows)."""
+    before = None
+    for batch in batches:
+        told = list(zip(*(batch.column(i).to_pylist() for i in keys), strict=True))
+        start = 0
+        for i in range(1, len(told) + 1):
+            if i == len(told) or told[i] != told[start]:
+                yield told[start], told[start] == before, batch.slice(start, i - start)
+                before, start = told[start], i
 
-        for batch in batches:
-            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and s != now:
-                    yield from told()
-                    held = []
-                now = s
-                held.append(np.frombuffer(data, dtype=member))
-        if held:
-            yield from told()
 
-    met = small_batches(points.select("point", "fp", *labelled)).mapInArrow(replicate, "slice long, members binary")
-    return met.repartition("slice").sortWithinPartitions("slice").mapInArrow(compare, "u long, v long").distinct()
+def _check_stars(stars: DataFrame, pool: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (point, leader) of stars whose texts are as similar. A leader of very many meets them in parts."""
+    sized = stars.join(pool.select("point", "text", "bytes"), "point")
+    parts = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / _PART), F.ceil(F.sum("bytes") / _PART_BYTES)).cast("int").alias("parts"))
+    members = sized.join(parts, "leader").select("leader", F.pmod(F.xxhash64("point"), "parts").cast("int").alias("part"), F.lit(1).alias("turn"), "point", "text")
+    heads = pool.join(parts, F.col("point") == F.col("leader")).select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"), "point", "text")
+    dealt = members.union(heads).repartition("leader", "part").sortWithinPartitions("leader", "part", "turn")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for (leader, _), goes_on, rows in _grouped(batches, [0, 1]):
+            points = rows.column(3).to_pylist()
+            sets = list(shingle_sets(rows.column(4).to_pylist(), shingle))
+            if not goes_on:
+                head, points, sets = sets[0], points[1:], sets[1:]
+            kept = [p for p, s in zip(points, sets, strict=True) if alike(head, s, similarity)]
+            if kept:
+                yield pa.record_batch([pa.array(kept, pa.int64()), pa.array([leader] * len(kept), pa.int64())], names=["u", "v"])
 
-def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (u, v) whose sets (point, grams) have a Jaccard similarity of at least that, exactly."""
+    return small_batches(dealt).mapInArrow(run, "u long, v long")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = sets.toDF("u", "a"), sets.toDF("v", "b")
-    return small_batches(edges.join(one, "u").join(two, "v").select("u", "v", "a", "b")).mapInArrow(check, "u long, v long")
+def _check_all(rest: DataFrame, pool: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links among the members (bucket, point, label) of each bucket, of all pairs of different labels.
 
+    A bucket is cut in parts of bounded size, and each two parts meet in a task of their own.
+    """
+    # Anchors with the same members are one.
+    own = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("point").cast("decimal(38,0)")).alias("sum"))
+    own = own.groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = rest.join(own, "bucket").join(pool, "point")
+    parts = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / _PART), F.ceil(F.sum("bytes") / _PART_BYTES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("point", "bucket"), "parts").cast("int")
+    rows = rows.join(parts, "bucket").select("bucket", "point", "label", "text", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = rows.select("bucket", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "point", "label", "text")
+    dealt = dealt.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each row of docs: id_col, component_id (as in near_duplicates()).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
 
-    Texts are linked whose distinct word shingles have at least the Jaccard similarity asked for:
-    512 bits tell the candidates, and each is checked by its shingles' hashes. Texts of the same
-    shingles always are; null and wordless texts are equal. Null ids, repeated rows, empty tables
-    and other columns are treated as in near_duplicates().
+        def told() -> Iterator[pa.RecordBatch]:
+            points, labels, sets = held
+            if len(points) > 1:
+                links_ = _spanning(sets, np.array(labels), similarity)
+                if links_:
+                    yield pa.record_batch([pa.array([points[i] for i, _ in links_], pa.int64()), pa.array([points[j] for _, j in links_], pa.int64())], names=["u", "v"])
+
+        for _, goes_on, rows in _grouped(batches, [0, 1, 2]):
+            if not goes_on:
+                yield from told()
+                held = ([], [], [])
+            held[0].extend(rows.column(3).to_pylist())
+            held[1].extend(rows.column(4).to_pylist())
+            held[2].extend(shingle_sets(rows.column(5).to_pylist(), shingle))
+        yield from told()
+
+    return small_batches(dealt).mapInArrow(run, "u long, v long")
+
+
+def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """met with labels, without the buckets whose members all have one."""
+    told = met.join(labels, "point", "left").withColumn("label", F.coalesce("label", "point"))
+    split = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+    return told.join(split, "bucket")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2, most_direct: int = 4096) -> DataFrame:
+    """One row for each row of docs: id_col, tag, component_id (as in near_duplicates()).
+
+    tag is the XXH64 of the text. Texts are linked whose distinct word shingles have at least the
+    Jaccard similarity asked for. Candidates meet at anchors of sampled fingerprints, and each is
+    checked by its shingles' hashes. First, `rounds` times, the members of an anchor are checked
+    against one of them, that which stands at the most populous anchors; then anchors whose members
+    are not yet linked to each other are searched whole. Of these, anchors of over most_direct
+    members are dealt anew by longer samples.
+
+    Texts of the same shingles are linked always; null and wordless texts are equal. Null ids,
+    repeated rows, empty tables and other columns are treated as in near_duplicates().
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2)
-            found = [shingles(texts[i].as_py(), shingle) for i in range(len(texts))]
-            columns = [[xxhash.xxh3_128_digest(x.tobytes()) for x in found], [wide_fingerprint(x) for x in found]]
-            yield pa.record_batch([*batch.columns[:2], *(pa.array(x, pa.binary()) for x in columns)], names=[id_col, "tag", "mark", "fp"])
+    text = F.col(text_col).cast("binary")
+    kind = type_of(docs, id_col)
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
-    def again_shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2)
-            found = [shingles(texts[i].as_py(), shingle).tobytes() for i in range(len(texts))]
-            same = pa.array([xxhash.xxh3_128_digest(x) == m.as_py() for x, m in zip(found, batch.column(1), strict=True)], pa.bool_())
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["point", "grams"]).filter(same)
+            sets = list(shingle_sets(batch.column(2).to_pylist(), shingle))
+            marks = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.record_batch([*batch.columns[:2], marks, _anchored(sets, *SAMPLES, 1)], names=["id", "tag", "mark", "buckets"])
+
+    marked = cut(small_batches(source).mapInArrow(mark, f"id {kind}, tag long, mark binary, buckets array<long>"))
+    head = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "tag")).alias("head")
+    points = cut(marked.groupBy("mark").agg(head, F.first("buckets").alias("buckets")).withColumn("point", F.monotonically_increasing_id()))
+    buckets = points.select("point", F.explode("buckets").alias("bucket"))
+    met = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    met = cut(met.join(met.groupBy("point").agg(F.sum("n").alias("score")), "point").select("bucket", "point", "score"))
+    named = met.select("point").distinct().join(points, "point").select("point", F.col("head.id").alias("_id"), F.col("head.tag").alias("_tag"))
+    texts = source.join(named, (F.col("tag") == F.col("_tag")) & F.col("id").eqNullSafe(F.col("_id"))).select("point", "text")
+    pool = cut(texts.dropDuplicates(["point"]).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))))
+    free(docs.sparkSession)
 
-    text = F.col(text_col).cast("binary")
-    source = small_batches(docs.select(F.col(id_col), F.xxhash64(text).alias("tag"), text.alias("text")))
-    marked = source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, tag long, mark binary, fp binary")
-    marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))  # written, so that numbers hold
-    rep = F.min(F.struct(F.col(id_col).alias("id"), "tag", "row"))  # the row whose text stands for the shingles
-    points = marked.groupBy("mark", "fp").agg(F.min(id_col).alias("least"), rep.alias("rep"))
-    points = cut(points.select("mark", "fp", "least", F.col("rep.id").alias("_id"), F.col("rep.tag").alias("_tag"), F.col("rep.row").alias("point")))
-
-    def checked(candidates: DataFrame) -> DataFrame:
-        # Shingles take more room than texts, so they are made again, of candidates only.
-        nodes = candidates.select(F.explode(F.array("u", "v")).alias("point")).distinct()
-        named = points.join(nodes, "point").select("point", "mark", "_id", "_tag")
-        texts = source.join(named, F.col("tag").eqNullSafe(F.col("_tag")) & F.col(id_col).eqNullSafe(F.col("_id"))).select("point", "mark", "text")
-        sets = cut(small_batches(texts.dropDuplicates(["point"])).mapInArrow(again_shingled, "point long, grams binary"))
-        free(docs.sparkSession)
-        return cut(_similar(candidates, sets, similarity))
-
-    found = cut(_candidates(points, similarity))
+    edges = docs.sparkSession.createDataFrame([], "u long, v long")
+    labels = docs.sparkSession.createDataFrame([], "point long, label long")
+    now, leaders = met.withColumn("label", F.col("point")), None
+    for _ in range(rounds):
+        if leaders is not None:
+            led = leaders.select("bucket", F.col("l.point").alias("point")).join(labels, "point", "left").select("bucket", F.coalesce("label", "point").alias("done"))
+            now = cut(_open(met, labels).join(led, "bucket").where("label <> done").select("bucket", "point", "score", "label"))
+        leaders = now.groupBy("bucket").agg(F.max_by(F.struct("point", "label"), F.struct("score", -F.col("point"))).alias("l"))
+        against = now.join(leaders, "bucket").where("label <> l.label").select("point", F.col("l.point").alias("leader"), "bucket")
+        stars = cut(against.select("point", "leader").distinct())
+        edges = cut(edges.union(_check_stars(stars, pool, shingle, similarity)))
+        labels = components(edges).select(F.col("node").alias("point"), F.col("component").alias("label"))
+    rest = cut(_open(met, labels).select("bucket", "point", "label", "n"))
+    direct = rest.where(F.col("n") <= most_direct)
+    large = cut(rest.where(F.col("n") > most_direct).select("point", "label").distinct())
+    if not large.isEmpty():
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = list(shingle_sets(batch.column(2).to_pylist(), shingle))
+                yield pa.record_batch([*batch.columns[:2], _anchored(sets, *MORE_SAMPLES, 2)], names=["point", "label", "buckets"])
+
+        dealt = small_batches(large.join(pool, "point").select("point", "label", "text")).mapInArrow(again, "point long, label long, buckets array<long>")
+        dealt = cut(dealt.select(F.explode("buckets").alias("bucket"), "point", "label"))
+        split = dealt.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+        direct = direct.union(dealt.join(split, "bucket").select("bucket", "point", "label", "n"))
     free(docs.sparkSession)
-    edges = checked(found.where("u <> v"))
-    same = components(edges).withColumnRenamed("node", "point")
-    again = points.join(found.where("u = v").select(F.col("u").alias("point")), "point")
-    again = cut(again.join(same, "point", "left").select("point", "fp", F.coalesce("component", "point").alias("label")))
-    if not again.isEmpty():
-        edges = edges.union(checked(cut(_candidates(again, similarity))))
-        same = components(edges).withColumnRenamed("node", "point")
-    placed = points.join(same, "point", "left").select("mark", "least", F.coalesce("component", "point").alias("component"))
-    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.select(id_col, "mark").join(placed.join(roots, "component").select("mark", "component_id"), "mark").select(id_col, "component_id")
+    edges = cut(edges.union(_check_all(direct, pool, shingle, similarity)))
+    labels = components(edges).select(F.col("node").alias("point"), F.col("component").alias("label"))
+    placed = points.join(labels, "point", "left").select("mark", "head", F.coalesce("label", "point").alias("label"))
+    roots = placed.groupBy("label").agg(F.min("head").alias("least")).select("label", F.col("least.id").alias("component_id"), F.col("least.tag").alias("component_tag"))
+    found = marked.join(placed.join(roots, "label").select("mark", "component_id", "component_tag"), "mark")
+    return found.select(F.col("id").alias(id_col), "tag", "component_id", "component_tag")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one document of each component of near_copies(): that with the least id stays.
+    """docs without all but one row of each component of near_copies(): that with the least id stays.
 
-    Rows that repeat an id are one document. Rows with a null id stay, as nothing tells them apart.
+    Null ids come last; of rows of an id those with the least hash of the text; rows of the same
+    id and text are one.
     """
     found = near_copies(docs, id_col, text_col, shingle, similarity)
-    heads = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(heads, id_col, "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    # The joined names must not clash with any column of docs.
+    taken = "_" * (1 + max(map(len, docs.columns)))
+    key, tag, other = f"{taken}id", f"{taken}tag", f"{taken}other"
+    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("component_tag"))).select(F.col(id_col).alias(key), F.col("tag").alias(other)).distinct()
+    marked = docs.withColumn(tag, F.xxhash64(F.col(text_col).cast("binary")))
+    return marked.join(heads, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(tag) == F.col(other)), "left_semi").dropDuplicates([id_col, tag]).select(*docs.columns)
