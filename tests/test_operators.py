@@ -106,3 +106,66 @@ def test_many_regions_by_cells(spark, monkeypatch, most):
     monkeypatch.setattr(rg, "MOST_BROADCAST", most)
     assert [sorted(map(str, f.collect())) for f in (rg.route(keys, regions, "k"), rg.overlap(scans, regions))] == want
     assert sum("region_id=None" not in x for x in want[0]) > 500
+
+
+def test_null_region_bounds_are_unbounded(spark, monkeypatch):
+    from tidemark.operators import regions as rg
+
+    regions = spark.createDataFrame([("a", None, 10), ("b", 10, 20), ("c", 20, None)], "region_id string, start_row long, end_row long")
+    scans = spark.createDataFrame([(1, 5, 20), (2, None, None), (3, 20, None), (4, None, 10)], "s long, scan_start long, scan_end long")
+    for few in (10**6, 0):
+        monkeypatch.setattr(rg, "FEW", few)
+        got = {(r["s"], r["region_id"], r["task_start"], r["task_end"]) for r in rg.overlap(scans, regions).collect()}
+        assert got == {(1, "a", 5, 10), (1, "b", 10, 20), (2, "a", None, 10), (2, "b", 10, 20), (2, "c", 20, None), (3, "c", 20, None), (4, "a", None, 10)}
+        keys = spark.createDataFrame([(-5,), (10,), (99,), (None,)], "k long")
+        assert {(r["k"], r["region_id"]) for r in rg.route(keys, regions, "k").collect()} == {(-5, "a"), (10, "b"), (99, "c"), (None, None)}
+
+
+def test_casts_refuse_what_is_no_value(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import convert as cv
+
+    def one(c):
+        return spark.range(1).select(c.alias("x")).first()["x"]
+
+    lit = F.lit
+    assert [one(cv.text_to_byte(lit(x))) for x in ("-128", "127", "")] == [-128, 127, None] and one(cv.wrapped(lit(200), 8)) == -56
+    assert one(cv.text_to_date_time(lit("1704067200000"))) == one(cv.text_to_date_time(lit("2024-01-01"))) == one(cv.text_to_date_time(lit("2024-01-01 00:00:00.000")))
+    assert one(cv.bytes_to_uuid(lit(b"hello"))) == "5d41402a-bc4b-3a76-b971-9d911017c592" and one(cv.map_text(F.create_map())) == "<EMPTY_MAP>"
+    assert [one(cv.parse_size(lit(x))) for x in ("1.5GB", "1e5KB", "-1KB", "0bytes", "2 M", None)] == [1610612736, 102400000, 0, 0, 2097152, 0]
+    assert [one(cv.size_text(lit(x))) for x in (0, 512, 1 << 20, 1610612736)] == ["0bytes", "0.5KB", "1MB", "1.5GB"] and one(cv.parse_speed(lit("1.5mb/s"))) == 1572864
+    assert [one(cv.prefix_text(lit(x), "B", 2)) for x in (1023, 1024, 1536, (1 << 20) - 1, -(1 << 30))] == ["1023 B", "1 kB", "1.50 kB", "1.00 mB", "-1 gB"]
+    assert [one(cv.span_unit(lit(x))) for x in (59, 60, 1440, 43200, 525600)] == ["minute", "hour", "day", "month", "year"]
+    wrong = [cv.text_to_byte(lit("128")), cv.text_to_short(lit("1.5")), cv.text_to_char(lit("ab")), cv.to_enum(lit("9"), ["A"]), cv.text_to_uuid(lit("x")), cv.millis_to_timestamp(lit("0")), cv.text_to_date_time(lit("-5")), cv.text_to_bytes(lit(None).cast("string")), cv.span_unit(lit(-1))]
+    for c in wrong:
+        with pytest.raises(PySparkException):
+            one(c)
+
+
+def test_kth_of_large_and_flat_groups(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import stats
+
+    rng = random.Random(1)
+    rows = [("wide", rng.randrange(10**6)) for _ in range(3000)] + [("flat", 7)] * 500 + [("two", 1), ("two", 2), ("none", None)]
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in stats.kth(spark.createDataFrame(rows, "g string, v long"), ["g"], "v", {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2), "hi": F.col("n") - 1}).collect()}
+    for g in ("wide", "flat", "two"):
+        v = sorted(x for k, x in rows if k == g)
+        assert got[g] == (v[0], v[len(v) // 2], v[-1])
+    assert "none" not in got
+
+
+def test_prewrite_failures_are_values(spark):
+    m = [(1, 10, "r1", None, 5, "x"), (1, 11, None, 10, 5, ""), (2, 10, "r1", None, 9, "y"), (3, 12, "r2", None, 1, "z"), (4, 13, "r2", None, 8, "ok")]
+    mutations = spark.createDataFrame(m, "txn_id long, key long, region_id string, primary_key long, start_ts long, value string").withColumnRenamed("txn_id", "txn_id")
+    locks = spark.createDataFrame([(10, 1)], "key long, txn_id long")
+    versions = spark.createDataFrame([(12, 7), (13, 7)], "key long, commit_ts long")
+    got = {(r["txn_id"], r["key"]): (r["error"], r["lock_primary"], r["lock_region"]) for r in mvcc.prewrite(mutations, locks, versions).collect()}
+    assert got == {(1, 10): (None, 10, "r1"), (1, 11): ("empty value", 10, "unknown"), (2, 10): ("locked by 1", 10, "r1"), (3, 12): ("write conflict at 7", 12, "r2"), (4, 13): (None, 13, "r2")}
+    replies = spark.createDataFrame([(1, True, None), (1, False, "bad"), (2, True, "no"), (2, False, None), (3, True, None)], "txn_id long, primary boolean, error string")
+    assert {r["txn_id"]: (r["outcome"], r["sent"], r["error"]) for r in mvcc.two_phase(replies).collect()} == {1: ("ROLLBACK", 2, "bad"), 2: ("ROLLBACK", 1, "no"), 3: ("COMMIT", 1, None)}

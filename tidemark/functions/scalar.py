@@ -46,6 +46,12 @@ def last_tail(c: Column, mark: str) -> Column:
     return F.when(F.locate(mark, c) > 0, F.substring_index(c, mark, -1))
 
 
+def last_head(c: Column, mark: str) -> Column:
+    """The text before the last mark; NULL where there is none."""
+    n = F.length(F.substring_index(c, mark, -1))
+    return F.when(F.locate(mark, c) > 0, F.substring(c, F.lit(1), F.length(c) - n - len(mark)))
+
+
 def split_trimmed(c: Column) -> Column:
     """Parts between commas without the space about them; none for NULL and blanks."""
     blank = c.isNull() | (F.trim(c) == "")

@@ -37,7 +37,8 @@ def exists(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def scan(df: DataFrame, key: str, start: Any = None, end: Any = None, limit: int = PAGE, resume: Any = None, reverse: bool = False) -> DataFrame:
     """A page of rows by key. resume is the last key of the page before; limit 0 takes a page of 256.
 
-    has_more tells on each row whether rows follow the page: one row beyond it is looked at.
+    has_more tells on each row whether rows follow the page: one row beyond it is looked at. resume_key
+    is the page's last key if they do, for the next page's resume.
     """
     size = limit or PAGE
     rows = df.where(in_range(key, start, end))
@@ -45,10 +46,10 @@ def scan(df: DataFrame, key: str, start: Any = None, end: Any = None, limit: int
         rows = rows.where(F.col(key) < F.lit(resume) if reverse else F.col(key) > F.lit(resume))
     order = F.col(key).desc() if reverse else F.col(key).asc()
     ahead = rows.orderBy(order).limit(size + 1)  # at most a page and one row
-    edge = ahead.agg(F.count("*").alias("_n"), F.max(key).alias("_hi"), F.min(key).alias("_lo"))
-    last = F.col("_lo") if reverse else F.col("_hi")
-    page = ahead.join(F.broadcast(edge)).where((F.col("_n") <= size) | (F.col(key) != last))
-    return page.withColumn("has_more", F.col("_n") > size).drop("_n", "_hi", "_lo")
+    keys = F.sort_array(F.collect_list(key), asc=not reverse)  # of one page
+    edge = ahead.agg(keys.alias("_keys")).select(F.size("_keys").alias("_n"), F.get("_keys", F.lit(size)).alias("_next"), F.get("_keys", F.lit(size - 1)).alias("_last"))
+    page = ahead.join(F.broadcast(edge)).where(F.col("_next").isNull() | (F.col(key) != F.col("_next")))
+    return page.withColumn("has_more", F.col("_n") > size).withColumn("resume_key", F.when(F.col("_n") > size, F.col("_last"))).drop("_n", "_next", "_last")
 
 
 def prefix(df: DataFrame, key: str, start: str, limit: int = PAGE) -> DataFrame:

@@ -63,6 +63,53 @@ def commit(intents: DataFrame, commits: DataFrame) -> DataFrame:
     return out.withColumn("committed", F.col("_c").isNotNull()).withColumnRenamed("_c", "commit_ts")
 
 
+def prewrite(mutations: DataFrame, locks: DataFrame, versions: DataFrame) -> DataFrame:
+    """Mutations with the lock that each takes, or the error that it meets; failures are values.
+
+    mutations: txn_id, key, value, start_ts, primary_key and region_id, where a null primary is the
+    key itself and a null region unknown. Errors in order: an empty value, another transaction's
+    lock (of the least id), a version committed after the start. Locks and versions are reduced to
+    one row a key before they meet the mutations.
+    """
+    held = locks.groupBy("key").agg(F.min("txn_id").alias("_low"), F.max("txn_id").alias("_high"))
+    newest_ts = versions.groupBy("key").agg(F.max("commit_ts").alias("_newest"))
+    met = mutations.join(held, "key", "left").join(newest_ts, "key", "left")
+    other = F.when(F.col("_low") != F.col("txn_id"), F.col("_low")).when(F.col("_high") != F.col("txn_id"), F.col("_high"))
+    error = (
+        F.when(F.coalesce(F.length("value"), F.lit(0)) == 0, "empty value")
+        .when(other.isNotNull(), F.concat(F.lit("locked by "), other))
+        .when(F.col("_newest") > F.col("start_ts"), F.concat(F.lit("write conflict at "), F.col("_newest")))
+    )
+    out = met.withColumn("error", error).withColumn("lock_primary", F.coalesce("primary_key", "key")).withColumn("lock_region", F.coalesce("region_id", F.lit("unknown")))
+    return out.drop("_low", "_high", "_newest")
+
+
+def two_phase(replies: DataFrame) -> DataFrame:
+    """(txn_id, outcome, sent, error) from prewrite replies (txn_id, primary, error).
+
+    The primary goes first: if it fails, nothing else is sent. Any failure rolls the transaction
+    back; the error told is the primary's, else the first in order of text.
+    """
+    first, bad = F.col("primary"), F.col("error").isNotNull()
+    out = replies.groupBy("txn_id").agg(
+        F.count("*").alias("n"), F.count_if(first).alias("primaries"), F.count_if(bad).alias("bad"), F.count_if(bad & first).alias("primary_bad"),
+        F.min(F.when(first, F.col("error"))).alias("primary_error"), F.min("error").alias("other_error"),
+    )
+    failed = F.col("primary_bad") > 0
+    return out.select("txn_id", F.when(F.col("bad") == 0, "COMMIT").otherwise("ROLLBACK").alias("outcome"), F.when(failed, F.col("primaries")).otherwise(F.col("n")).alias("sent"), F.when(failed, F.col("primary_error")).otherwise(F.col("other_error")).alias("error"))
+
+
+def merge(target: DataFrame, source: DataFrame, key: str, delete: Column | None = None) -> DataFrame:
+    """target after MERGE: met rows take the source's values (or go where delete, over `new` and `old`, holds), unmet source rows come in."""
+    rest = [c for c in target.columns if c != key]
+    old = target.select(F.col(key).alias("_ok"), F.struct(*rest).alias("old"))
+    new = source.select(F.col(key).alias("_nk"), F.struct(*rest).alias("new"))
+    met = old.join(new, F.col("_ok") == F.col("_nk"), "full")
+    if delete is not None:
+        met = met.where(F.col("_ok").isNull() | F.col("_nk").isNull() | ~F.coalesce(delete, F.lit(False)))
+    return met.select(F.coalesce("_nk", "_ok").alias(key), *[F.when(F.col("_nk").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in rest])
+
+
 def rollback(intents: DataFrame, undone: DataFrame) -> DataFrame:
     """Intents without those of the transactions that are undone."""
     return intents.join(undone.select("txn_id"), "txn_id", "left_anti")

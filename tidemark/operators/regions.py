@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to FEW regions are compared with each row; more are found by cells of the key space.
-FEW = 1_000
+FEW = 8
 MOST_BROADCAST = 100_000
 CELLS = 256
 
@@ -43,9 +45,9 @@ def _cells(regions: DataFrame) -> tuple[DataFrame, list[int]] | None:
 def route(keys: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """Each key with the region whose [start_row, end_row) holds it; null region where none does.
 
-    Regions don't overlap. A null end is unbounded; a null key or start meets nothing.
+    Regions don't overlap. A null start or end is unbounded; a null key meets nothing.
     """
-    held = (F.col(key) >= F.col("start_row")) & (F.col("end_row").isNull() | (F.col(key) < F.col("end_row")))
+    held = F.col(key).isNotNull() & (F.col("start_row").isNull() | (F.col(key) >= F.col("start_row"))) & (F.col("end_row").isNull() | (F.col(key) < F.col("end_row")))
     found = _cells(regions)
     if found is None:
         return keys.join(F.broadcast(regions), held, "left")
@@ -54,14 +56,16 @@ def route(keys: DataFrame, regions: DataFrame, key: str) -> DataFrame:
 
 
 def overlap(scans: DataFrame, regions: DataFrame) -> DataFrame:
-    """A task for each scan range and region that meet, cut to what they share."""
-    meet = (F.col("scan_start") < F.col("end_row")) & (F.col("start_row") < F.col("scan_end"))
+    """A task for each scan range and region that meet, cut to what they share. Null bounds are unbounded."""
+    free = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) < F.col(b))
+    meet = free("scan_start", "end_row") & free("start_row", "scan_end")
     found = _cells(regions)
     if found is None:
         met = scans.join(F.broadcast(regions), meet)
     else:
         spread, cuts = found
-        low, high = _cell(F.col("scan_start"), cuts), _cell(F.col("scan_end"), cuts)
+        low = F.when(F.col("scan_start").isNull(), 0).otherwise(_cell(F.col("scan_start"), cuts))
+        high = F.when(F.col("scan_end").isNull(), len(cuts)).otherwise(_cell(F.col("scan_end"), cuts))
         cut = scans.withColumn("_from", low).withColumn("_at", F.explode(F.sequence("_from", F.greatest("_from", high))))
         # A pair may share several cells; it counts in the first of them.
         once = F.col("_at") == F.greatest("_from", "_first")
@@ -69,6 +73,27 @@ def overlap(scans: DataFrame, regions: DataFrame) -> DataFrame:
     return met.withColumn("task_start", F.greatest("scan_start", "start_row")).withColumn("task_end", F.least("scan_end", "end_row"))
 
 
+def tree_check(edges: DataFrame) -> DataFrame:
+    """One row on edges (parent, child): vertices, edges, roots, children with several parents, vertices reached, valid.
+
+    Reach grows by a step a round and stops when it finds nothing new; each round is checkpointed
+    where the session has a checkpoint folder.
+    """
+    edges = edges.select("parent", "child").distinct()
+    vertices = edges.select(F.col("parent").alias("x")).union(edges.select("child")).distinct()
+    roots = vertices.join(edges, F.col("x") == F.col("child"), "left_anti")
+    doubled = edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1")
+    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    reached = front = keep(roots)
+    while not front.isEmpty():
+        front = keep(front.join(edges, F.col("x") == F.col("parent")).select(F.col("child").alias("x")).distinct().join(reached, "x", "left_anti"))
+        reached = keep(reached.union(front))
+    sizes = {"vertices": vertices, "edges": edges, "roots": roots, "doubled": doubled, "reached": reached}
+    counts = reduce(DataFrame.union, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in sizes.items()])
+    row = counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in sizes])
+    return row.withColumn("valid", (F.col("roots") == 1) & (F.col("reached") == F.col("vertices")) & (F.col("edges") == F.col("vertices") - 1))
+
+
 def quorum(voters: Column, acked: Column) -> Column:
     return acked >= F.floor(voters / 2) + 1
 

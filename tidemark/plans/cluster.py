@@ -12,9 +12,9 @@ from tidemark.streaming import ordered
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A region of 600 rows for each nation but the last two; the nation leads it."""
+    """A region of 600 rows for each nation but the last two; the nation leads it. The first has no start, the last no end."""
     n = F.col("n_nationkey").cast("long")
-    return table(spark, sf_dir, "nation").where("n_nationkey < 23").select(F.concat(F.lit("r"), n).alias("region_id"), (n * 600).alias("start_row"), ((n + 1) * 600).alias("end_row"), F.when(n % 5 != 4, F.col("n_name")).alias("leader"))
+    return table(spark, sf_dir, "nation").where("n_nationkey < 23").select(F.concat(F.lit("r"), n).alias("region_id"), F.when(n > 0, n * 600).alias("start_row"), F.when(n < 22, (n + 1) * 600).alias("end_row"), F.when(n % 5 != 4, F.col("n_name")).alias("leader"))
 
 
 def region_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def region_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 97).alias("scan_start"), (F.col("s_suppkey") * 97 + 900).alias("scan_end"))
+    k = F.col("s_suppkey")  # every seventh scan has no start, every eleventh no end
+    scans = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 7 != 0, k * 97).alias("scan_start"), F.when(k % 11 != 0, k * 97 + 900).alias("scan_end"))
     return rg.overlap(scans, _regions(spark, sf_dir)).select("s_suppkey", "region_id", "task_start", "task_end")
 
 
@@ -68,8 +69,7 @@ def commit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lease_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-th least reply of each user, k = n div 2 from 0."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("t"))
-    return e.select("user_id", F.get("t", F.floor(F.size("t") / 2).cast("int")).alias("lease"))
+    return stats.kth(table(spark, sf_dir, "events"), ["user_id"], "event_id", {"lease": F.floor(F.col("n") / 2)})
 
 
 def vote_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +92,8 @@ def count_with_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("slow"), F.max("value").alias("worst"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)").cast("long").alias("mid"), F.count_distinct("user_id").alias("users"), F.min("event_id").alias("first_id"),
-    )
+    sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("slow"), F.max("value").alias("worst"), F.count_distinct("user_id").alias("users"), F.min("event_id").alias("first_id"))
+    return sums.join(stats.kth(e, ["event_type"], "event_id", {"mid": F.floor((F.col("n") - 1) / 2)}), "event_type")
 
 
 def snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +153,7 @@ QUERIES = {
     )
 }
 
-_REG = "(SELECT 'r' || n_nationkey AS region_id, n_nationkey * 600 AS start_row, (n_nationkey + 1) * 600 AS end_row, CASE WHEN n_nationkey % 5 <> 4 THEN n_name END AS leader FROM nation WHERE n_nationkey < 23)"
+_REG = "(SELECT 'r' || n_nationkey AS region_id, CASE WHEN n_nationkey > 0 THEN n_nationkey * 600 END AS start_row, CASE WHEN n_nationkey < 22 THEN (n_nationkey + 1) * 600 END AS end_row, CASE WHEN n_nationkey % 5 <> 4 THEN n_name END AS leader FROM nation WHERE n_nationkey < 23)"
 _REP = "(SELECT s_nationkey::BIGINT AS vnode_id, s_suppkey AS ordinal, s_name AS replica_id, CASE WHEN s_suppkey % 4 = 3 THEN 'LEARNER' WHEN s_suppkey % 4 = 2 THEN 'WITNESS_VOTER' ELSE 'DATA_VOTER' END AS role, s_acctbal > 2000 AS reachable FROM supplier)"
 _LED = f"(SELECT r.*, leader_id, r.vnode_id + 1 AS epoch FROM {_REP} r JOIN (SELECT vnode_id, arg_min(replica_id, ordinal) AS leader_id FROM {_REP} WHERE role = 'DATA_VOTER' GROUP BY 1) l USING (vnode_id))"
 _MAP = """(SELECT map_name, key, value FROM (
@@ -165,8 +163,11 @@ _MAP = """(SELECT map_name, key, value FROM (
 _OPS = "WITH ops AS (SELECT event_id AS seq, CASE WHEN event_id % 997 = 0 THEN 'clear' WHEN event_type = 'error' THEN 'remove' ELSE 'put' END AS method, 'm' || (user_id % 7) AS map_name, user_id AS key, event_type AS value FROM events)"
 
 ORACLES = {
-    "region_route": f"SELECT o_orderkey, region_id, leader FROM orders LEFT JOIN {_REG} ON o_orderkey >= start_row AND o_orderkey < end_row",
-    "region_overlap": f"SELECT s_suppkey, region_id, greatest(s_suppkey * 97, start_row) AS task_start, least(s_suppkey * 97 + 900, end_row) AS task_end FROM supplier JOIN {_REG} ON s_suppkey * 97 < end_row AND start_row < s_suppkey * 97 + 900",
+    "region_route": f"SELECT o_orderkey, region_id, leader FROM orders LEFT JOIN {_REG} ON (start_row IS NULL OR o_orderkey >= start_row) AND (end_row IS NULL OR o_orderkey < end_row)",
+    "region_overlap": f"""
+SELECT s_suppkey, region_id, greatest(a, start_row) AS task_start, least(b, end_row) AS task_end
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey * 97 END AS a, CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey * 97 + 900 END AS b FROM supplier)
+JOIN {_REG} ON (a IS NULL OR end_row IS NULL OR a < end_row) AND (start_row IS NULL OR b IS NULL OR start_row < b)""",
     "client_refresh": """
 SELECT coalesce(a, m) AS client_id, CASE WHEN a IS NULL THEN 'UNREGISTER' WHEN m IS NULL THEN 'REGISTER' ELSE 'RETAIN' END AS action
 FROM (SELECT DISTINCT o_custkey AS a FROM orders WHERE o_orderstatus = 'O') FULL JOIN (SELECT c_custkey AS m FROM customer WHERE c_acctbal > 3000) ON a = m""",

@@ -53,7 +53,7 @@ def kv_count_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey = 777").select(*_COLS, "o_orderstatus", "o_orderpriority")
+    return table(spark, sf_dir, "orders").where("o_orderkey = 777")
 
 
 def pk_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,13 +77,13 @@ _W = "(SELECT c_custkey * 13 AS o_orderkey FROM customer)"
 ORACLES = {
     "kv_get": f"SELECT w.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderkey IS NOT NULL AS found FROM {_W} w LEFT JOIN orders o USING (o_orderkey)",
     "kv_exists": f"SELECT o_orderkey FROM {_W} w WHERE o_orderkey IN (SELECT o_orderkey FROM orders)",
-    "kv_scan": "SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) > 256 FROM orders WHERE o_orderkey > 355 AND o_orderkey < 5000) AS has_more FROM orders WHERE o_orderkey > 355 AND o_orderkey < 5000 ORDER BY o_orderkey LIMIT 256",
-    "kv_scan_reverse": "SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) > 50 FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1200) AS has_more FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1200 ORDER BY o_orderkey DESC LIMIT 50",
+    "kv_scan": "SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) > 256 FROM orders WHERE o_orderkey > 355 AND o_orderkey < 5000) AS has_more, (SELECT max(k) FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey > 355 AND o_orderkey < 5000 ORDER BY k LIMIT 256)) AS resume_key FROM orders WHERE o_orderkey > 355 AND o_orderkey < 5000 ORDER BY o_orderkey LIMIT 256",
+    "kv_scan_reverse": "SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) > 50 FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1200) AS has_more, (SELECT min(k) FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1200 ORDER BY k DESC LIMIT 50)) AS resume_key FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1200 ORDER BY o_orderkey DESC LIMIT 50",
     "kv_prefix_scan": "SELECT c_name, c_custkey FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY c_name LIMIT 256",
     "kv_first_last": "SELECT min(o_orderkey) AS first_key, arg_min(o_custkey, o_orderkey) AS first_cust, max(o_orderkey) AS last_key, arg_max(o_custkey, o_orderkey) AS last_cust FROM orders WHERE o_orderkey >= 10 AND o_orderkey < 1000",
     "kv_count": "SELECT count(*) AS count, false AS truncated FROM orders WHERE o_orderkey >= 10 AND o_orderkey < 4106",
     "kv_count_capped": "SELECT least(count(*), 500) AS count, count(*) > 500 AS truncated FROM orders WHERE o_orderkey >= 10",
-    "point_lookup": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey = 777",
+    "point_lookup": "SELECT * FROM orders WHERE o_orderkey = 777",
     "pk_range_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 200 AND 4295",
     "index_lookup": "SELECT o_custkey, o_orderkey AS row_id, lower(hex(o_custkey)) AS index_hex, o_orderstatus, o_totalprice FROM orders WHERE o_custkey >= 50 AND o_custkey < 60",
     "table_count": "SELECT count(*) AS n FROM orders",

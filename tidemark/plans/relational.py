@@ -16,7 +16,10 @@ SQL = {
     "join_left": "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "join_full": "SELECT a.k AS a, b.k AS b FROM (SELECT s_suppkey AS k FROM supplier) a FULL JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 = 0) b ON a.k = b.k",
     "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
-    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')",
+    "join_right": "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000",
+    "join_cross": "SELECT r_name, b.o_orderstatus AS status, count(*) AS n FROM region CROSS JOIN (SELECT o_orderstatus FROM orders WHERE o_orderkey % 100 = 0) b GROUP BY r_name, b.o_orderstatus",
+    "join_lateral": "SELECT c_custkey, t.n, t.last_key FROM customer, LATERAL (SELECT count(*) AS n, max(o_orderkey) AS last_key FROM orders WHERE o_custkey = c_custkey) t",
     "join_theta": "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "subquery_scalar": "SELECT p_partkey FROM part WHERE p_size > (SELECT avg(p_size) FROM part)",
     "group_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10",
@@ -30,9 +33,10 @@ SQL = {
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_union_all": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) u GROUP BY k",
     "set_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_custkey < 1000",
-    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O'",
     "recursive_reach": "WITH RECURSIVE t(n) AS (SELECT min(n_nationkey) FROM nation UNION ALL SELECT n + 1 FROM t WHERE n < 24) SELECT n, n_name FROM t JOIN nation ON n = n_nationkey",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS qty, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
+    "skip_take": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 12",
     "top_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import stats
 from tidemark.sources.tables import table
 
 
@@ -46,8 +47,8 @@ def payload_chunks(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFr
 
 def event_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, 95th and 99th percentile and maximum of the values of each event type, exact."""
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max("value").alias("most"))
+    q = lambda p: F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))
+    return stats.kth(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": q(0.5), "p95": q(0.95), "p99": q(0.99), "most": F.col("n") - 1})
 
 
 def latest_settings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +20,27 @@ def gap_free(requests: DataFrame, client: str = "client_id", seq: str = "seq") -
 def deduplicate(requests: DataFrame, keys: list[str], time: str, ttl_seconds: int) -> DataFrame:
     """Requests without repeats of a key within ttl_seconds of the one that was kept last before.
 
-    A repeat after that is a request again. A fold over each key's times, in order.
+    A repeat after that is a request again. Rows go by key and time through one pass that carries
+    the key and the time last kept, so a key's rows are never held together.
     """
-    order = Window.partitionBy(*keys).orderBy(time)
-    at = F.col(time).cast("timestamp").cast("double")
-    gap = at - F.lag(at).over(order)
-    # A gap beyond the ttl starts a run anew; inside a run the fold decides.
-    runs = requests.withColumn("_run", F.sum(F.when(gap.isNull() | (gap >= ttl_seconds), 1).otherwise(0)).over(order))
-    rest = [c for c in requests.columns if c not in keys]
-    grouped = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct(at.alias("_t"), *rest))).alias("xs"))
-    none = F.slice("xs", 1, 0)
-    fold = F.aggregate("xs", F.struct(F.lit(None).cast("double").alias("at"), none.alias("kept")), lambda a, x: F.when(a["at"].isNull() | (x["_t"] - a["at"] >= ttl_seconds), F.struct(x["_t"].alias("at"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a))
-    return grouped.select(*keys, F.explode(fold["kept"]).alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
+    names, many = requests.columns, len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        kept = 0
+        for batch in batches:
+            told = zip(*(c.to_pylist() for c in batch.columns[: many + 1]), strict=True)
+            keep = []
+            for *key, at in told:
+                new = key != last or at is None or at - kept >= ttl_seconds * 1_000_000
+                if new and at is not None:
+                    last, kept = key, at
+                keep.append(new)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(range(many + 1, batch.num_columns))
+
+    marked = requests.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.unix_micros(F.col(time).cast("timestamp")).alias("_at"), *names)
+    own = [f"_key{i}" for i in range(many)]
+    return marked.repartition(*own).sortWithinPartitions(*own, "_at", *names).mapInArrow(run, requests.schema)
 
 
 def reassemble(messages: DataFrame, stream: str, part: str, body: str, sep: str = "") -> DataFrame:
@@ -40,19 +52,32 @@ def reassemble(messages: DataFrame, stream: str, part: str, body: str, sep: str
 def watch(wanted: DataFrame, progress: DataFrame, group: str, index: str = "idx", seq: str = "seq") -> DataFrame:
     """Each wanted index of a group with the first progress row that reaches it; TIMEOUT where none does.
 
-    Progress is cut to its new maxima, which rise with seq; wanted rows are swept among them.
+    Progress is reduced to the first row of each index before wanted rows are swept among these.
     """
-    top = F.max(index).over(Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    steps = progress.withColumn("_top", top).where(F.col("_top").isNull() | (F.col(index) > F.col("_top")))
-    steps = steps.select(group, F.col(index).alias("wanted"), F.col(seq).cast("long").alias("reached_at"), F.lit(1).alias("_side"))
+    steps = progress.groupBy(group, F.col(index).alias("wanted")).agg(F.min(seq).cast("long").alias("reached_at")).withColumn("_side", F.lit(1))
     both = wanted.select(group, "wanted", F.lit(None).cast("long").alias("reached_at"), F.lit(0).alias("_side")).unionByName(steps)
     ahead = Window.partitionBy(group).orderBy("wanted", "_side").rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("reached_at", F.first("reached_at", ignorenulls=True).over(ahead)).where("_side = 0")
+    out = both.withColumn("reached_at", F.min("reached_at").over(ahead)).where("_side = 0")
     return out.select(group, "wanted", "reached_at", F.when(F.col("reached_at").isNull(), "TIMEOUT").otherwise("DONE").alias("status"))
 
 
+def unapplied(entries: DataFrame, applied: DataFrame, key: str) -> DataFrame:
+    """Entries (key, term, idx) beyond the position (at: term, idx) that a key has applied; all where it has none."""
+    met = entries.join(applied.select(F.col(key).alias("_k"), "at"), F.col(key) == F.col("_k"), "left")
+    return met.where(F.col("at").isNull() | (F.struct("term", "idx") > F.col("at"))).drop("_k", "at")
+
+
+def guarded_read(wanted: DataFrame, progress: DataFrame, group: str) -> DataFrame:
+    """Reads with a least index, and why one is refused: its group's commit index is behind it."""
+    met = wanted.join(progress, group)
+    return met.withColumn("refused", F.when(F.col("commit_index") < F.col("write_index"), "commit index is behind")).drop(group)
+
+
 def deduplicate_stream(stream: DataFrame, keys: list[str], time: str, ttl: str) -> DataFrame:
-    """The streaming form of deduplicate(): state goes with the watermark."""
+    """One request of a key within ttl of event time: a repeat is dropped while the first one's state lasts.
+
+    Unlike deduplicate(), what is dropped doesn't depend on the request kept last, but on the watermark.
+    """
     return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
 
 
