@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -249,6 +250,37 @@ def test_quality_counts_and_fences(spark):
     assert sum(got[d]["kept"] for d in clean) >= 0.97 * len(clean)
 
 
+def test_quality_fences_follow_each_source(spark):
+    """Sources of different spreads get different fences on every signal, and every signal can fail a text by itself."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    rows, n = [], 0
+    for source, scale in (("calm", 1), ("wild", 3)):
+        for _ in range(400):
+            own = [f"{rng.choice('abcdefgh')}{'x' * rng.randrange(2, 3 + 2 * scale)}{rng.randrange(10**4)}" for _ in range(120)]
+            lines = [" ".join(own[i : i + 8]) for i in range(0, 120, 8)]
+            own_lines = lines + [lines[0]] * rng.randrange(2 * scale) + ["#" * rng.randrange(4 * scale)]
+            rows.append((n, "\n".join(own_lines), "en", source))
+            n += 1
+    base = [f"pax{rng.randrange(10**4)}" for _ in range(120)]
+    lines = [" ".join(base[i : i + 8]) for i in range(0, 120, 8)]
+    odd = {
+        -1: "\n".join([*lines, "#" * 500]), -2: "\n".join([*lines, *[f"q{i // 2}" for i in range(80)]]),
+        -3: " ".join([*base, *["again and over"] * 20]), -4: " ".join(w * 12 for w in base), -5: " ".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(140)),
+    }
+    rows += [(k, t, "en", "calm") for k, t in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    for k, name in ((-1, "symbol_share"), (-2, "dup_line_share"), (-3, "repeat_share"), (-4, "word_length"), (-5, "word_length")):
+        assert name in got[k]["failed"] and not got[k]["base_failed"] and not got[k]["kept"], (k, got[k])
+    assert sum(not r["kept"] for k, r in got.items() if k >= 0) <= 16
+    marked = quality.signals(docs).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source").withColumns(quality._shares())
+    sketches = marked.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, 2048).alias(x) for x in quality.SIGNALS])
+    calm, wild = (r for r in quality.fences(sketches, 2.0, 30.0).orderBy("_source").collect())
+    assert all(wild[x]["inner"] > calm[x]["inner"] and wild[x]["outer"] > calm[x]["outer"] for x in ("symbol_share", "dup_line_share", "repeat_share", "word_length"))
+
+
 def test_quality_fences_equal_sorted_ranks(spark):
     """On groups that the sketch holds whole, fences are the quartiles of sorted values."""
     rows = [(g, float(v)) for g in ("a", "b") for v in range(1, 1001, 2 if g == "b" else 1)]
@@ -394,12 +426,29 @@ def test_secrets_of_a_document_copied_to_other_sources(spark):
 
 
 def test_licenses_found_and_unknown(spark):
-    lines = {1: "Released under the MIT License.", 2: "Licensed under the Apache License, Version 2.0.", 3: "No licence is needed to drive this bicycle today", 4: None, 5: "", 6: "Copyright stays with whoever wrote it down first"}
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-k, t if t is None else f"Some words here.\n{t}") for k, t in lines.items()], "doc_id long, text string"))
-    got = {(r["doc_id"], r["family"], r["confirmed"]) for r in licenses.scan(docs).collect()}
-    assert {(-1, "mit", True), (-2, "apache-2.0", True)} <= got and not any(c for d, _, c in got if d in (-3, -6))
-    want = {r["doc_id"] for r in docs.collect() if re.search(r"GNU General Public License, version 3|under CC BY-NC 4", r["text"] or "")}
-    assert want <= {d for d, f, c in got if c}
+    """Every paragraph is looked at: names without a cue word, wordings not trained on, wrapped notices, and no near misses."""
+    want = {
+        1: ("mit", "Released under the MIT License."), 2: ("apache-2.0", "The code is made available under Apache License, Version 2.0, see below."), 3: ("gpl-3.0", "GNU GPL v3 or later"),
+        4: ("apache-2.0", "distributed under the License is distributed on an AS IS BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express\nor implied, unless required by applicable law or agreed to in writing."),
+        5: ("mit", "// Permission is hereby granted, free of charge, to any\n// person obtaining a copy of this software and\n// associated documentation files (the Software), to deal\n// in the Software without restriction, including"),
+        6: ("cc-by-nc-4.0", "Text and figures are licensed under CC BY-NC 4.0 by their authors"), 7: ("lgpl", "This library falls under the GNU Lesser General Public License, version 2.1"),
+    }
+    plain = {11: "No licence is needed to drive this bicycle today", 12: "Copyright stays with whoever wrote it down first", 13: "The general public may enter version 3 of the hall with permission", 14: None, 15: "", 16: "\n\n \n", 17: "word " * 60000}
+    own = [(-k, t) for k, (_, t) in want.items()] + [(-k, t) for k, t in plain.items()] + [(-1, want[1][1])]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(k, t if t is None else f"Some words stand here before it.\n\n{t}") for k, t in own], "doc_id long, text string"))
+    found = licenses.scan(docs).collect()
+    got = collections.defaultdict(set)
+    for r in found:
+        if r["confirmed"]:
+            got[r["doc_id"]].add(r["family"])
+    for k, (family, _) in want.items():
+        assert family in got[-k], (k, got[-k], [r for r in found if r["doc_id"] == -k])
+    assert not any(got[-k] for k in plain)
+    assert len([r for r in found if r["doc_id"] == -1 and r["line"] == 2 and r["lines"] == 1]) == 2  # repeated rows
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    planted_ = {d for d, t in texts.items() if d >= 0 and re.search(r"GNU General Public License, version 3|under CC BY-NC 4|MIT License|Apache License|All rights reserved", t)}
+    assert planted_ <= set(got) and len({d for d in got if d >= 0} - planted_) <= 2
+    assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(odd_docs(spark)).count() == 0
 
 
 def test_pieces_equal_the_library_and_round_trip(spark):
@@ -420,29 +469,149 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     assert pieces.encode(docs, model).where("round_trip").count() == docs.count() and pieces.encode(docs.limit(0), model).count() == 0
 
 
-def test_chat_windows_read_back(spark):
+def brute_windows(turns, budget, history):
+    """Windows as lists of (index, new), by the rules of the docstring, one turn after the other."""
+    esc = lambda x: x.replace("\\", "\\s").replace("<", "\\l").replace("[", "\\b").replace("]", "\\e")
+    size = [-(-len(f"[TURN {esc(r)}]{esc(t)}</s>") // 4) for r, t in turns]
+    head = int(bool(turns) and turns[0][0] == "system" and size[0] <= budget // 4)
+    fixed = size[0] if head else 0
+    stride = budget - history - fixed
+    cells, at, start = {}, 0, {}
+    for i in range(head, len(turns)):
+        start[i], end = at, at + size[i]
+        cell = (end - 1) // stride
+        cells.setdefault(cell, ([], []))[0 if at // stride < cell else 1].append(i)
+        at = end
+    spans = []
+    for cell in sorted(cells):
+        across, inside = cells[cell]
+        if across and inside and sum(size[i] for i in across + inside) <= stride:
+            spans.append(across + inside)
+        else:
+            spans += [x for x in (across, inside) if x]
+    out = []
+    for n, span in enumerate(spans):
+        new = sum(size[i] for i in span)
+        led = head and new + fixed <= budget
+        if head and n == 0 and not led:
+            out.append([(0, True)])
+        past = [i for i in range(head, span[0]) if start[span[0]] - start[i] <= history] if n and new <= stride else []
+        out.append([(0, n == 0)] * led + [(i, False) for i in past] + [(i, True) for i in span])
+    return (out or [[(0, True)]]) if turns else [], size
+
+
+@pytest.mark.parametrize(("budget", "history"), [(120, 30), (60, 0), (2048, 256)])
+def test_chat_windows_against_brute_force(spark, budget, history):
     rng = random.Random(7)
     bits = ["</s>", "[TURN ", "]", "\\", "\\s", "\\l", "<", "word ", "é", "\n", "[INST]"]
     rows = []
-    for c in range(12):
+    for c in range(30):
         n = 0
-        for role in (["system"] if c % 2 else []) + ["user", "assistant"] * rng.randrange(1, 30):
-            rows.append((c, n, role, None if rng.random() < 0.05 else "".join(rng.choices(bits, k=rng.randrange(0, 60))), "extra"))
+        for role in (["system"] if c % 2 else []) + ["user", "assistant"] * rng.randrange(0, 30):
+            rows.append((c, n if c != 4 else n // 3, role, None if rng.random() < 0.05 else "".join(rng.choices(bits, k=rng.choice([0, 3, 20, 60, 200 if c % 3 else 5]))), "extra"))
             n += 1
+    rows += [(None, i, "user", f"no id {i}", "extra") for i in range(40)] + [(50, None, "assistant", "no turn", "extra"), (50, 1, None, "no role", "extra"), (51, 1, "user", "twice", "x"), (51, 1, "user", "twice", "x")]
+    rows += [(52, 5000 * i, "user", "far apart " * 9, "x") for i in range(30)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
-    made = chat.windows(turns, budget=120, history=30)
-    assert made.groupBy("conv_id").count().where("count > 2").count() > 3
+    made = chat.windows(turns, budget, history)
+    by = collections.defaultdict(list)
+    for r in made.orderBy("window").collect():
+        by[r["conv_id"]].append(r)
     got = {r["conv_id"]: r for r in chat.digests(made).collect()}
-    chars = collections.Counter()
-    for r in made.collect():
-        chars[r["conv_id"]] += len(r["text"])
-    for c in range(12):
-        own = [r for r in rows if r[0] == c]
-        told = "".join(f"{r[2]}\n{r[3] or ''}\n" for r in own)
-        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+    several = 0
+    assert set(by) == {r[0] for r in rows}
+    for c, windows in by.items():
+        own = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-1 if r[1] is None else r[1], (r[2] or "").encode(), (r[3] or "").encode()))]
+        want, size = brute_windows(own, budget, history)
+        assert [r["window"] for r in windows] == list(range(1, len(want) + 1))
+        several += len(want) > 2
+        for r, w in zip(windows, want, strict=True):
+            parts = [p for p in r["text"].split("</s>") if p]
+            back = [p.replace("\\e", "]").replace("\\b", "[").replace("\\l", "<").replace("\\s", "\\") for p in parts]
+            assert back == [f"[TURN {own[i][0]}]{own[i][1]}" for i, _ in w]
+            assert r["tokens"] == sum(size[i] for i, _ in w) and (r["tokens"] <= budget or len(w) == 1) and r["n_repeated"] == sum(not new for _, new in w)
+            assert "".join(r["text"][s.start : s.stop] for s in r["loss_spans"]) == "".join(p.partition("]")[2] for p, (i, new) in zip(parts, w, strict=True) if new and own[i][0] == "assistant")
+        told = "".join(f"{role}\n{text}\n" for role, text in own)
+        loss = "".join(text for role, text in own if role == "assistant")
         r = got[c]
-        assert (r["n_turns"], r["loss_chars"], r["formatted_chars"]) == (len(own), len(loss), chars[c])
+        assert (r["n_turns"], r["loss_chars"], r["formatted_chars"]) == (len(own), len(loss), sum(len(x["text"]) for x in windows))
         assert r["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest() and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    later = made.where("window > 1").orderBy("conv_id", "window").collect()
-    assert all(r["text"].startswith("[TURN system]") for r in later if r["conv_id"] % 2) and all(r["n_repeated"] < r["text"].count("</s>") for r in later)
+    assert several > 3 or budget > 1000
     assert chat.digests(chat.windows(turns.limit(0))).count() == 0
+    with pytest.raises(ValueError, match="history"):
+        chat.windows(turns, 100, 60)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    from oracle import same
+
+    assert same(spark, queries.QUERIES[name], queries.ORACLES[name]) is None
+
+
+def test_chat_query_has_several_windows(spark):
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    made = chat.windows(turns, queries.BUDGET, queries.HISTORY)
+    per = [r["count"] for r in made.groupBy("conv_id").count().collect()]
+    assert sum(n > 1 for n in per) > 0.5 * len(per)
+    assert made.where("n_repeated > 0").count() > 0
+
+
+def test_long_texts_take_linear_time(spark):
+    """Texts that could make a pattern or an index grow with the square of their size."""
+    began = time.perf_counter()
+    for text in ("eyJ" * 400_000, "token " * 200_000, "AKIA" * 300_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "a" * 10**6, "http://" * 150_000, "0123456789abcdef" * 60_000):
+        secrets.spans(text)
+    item = [b"w%d" % i for i in range(20_000)]
+    index = decontaminate.Index([("long", item), ("short", [b"x%d" % i for i in range(20)])])
+    (key, _, edits), = index.matches(b" ".join([b"before"] * 50 + item[:9000] + [b"new"] * 5 + item[9000:] + [b"after"] * 50))
+    assert (key, edits) == ("long", 5)
+    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    text = " ".join(r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'de'").collect())
+    assert langid.mixtures([text * 20, "x" * 10**6], model)[0][0] == "de"
+    assert time.perf_counter() - began < 60
+
+
+def test_pieces_of_a_text_without_spaces():
+    """A segment of many blocks is cut where no merge reaches across, and gives the library's ids."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    model = pieces.load(queries.PIECE_MODEL)
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdeXYZ0123,.;:+()éß漢") for _ in range(30_000))
+    pieces_block, pieces._BLOCK = pieces._BLOCK, 2000
+    try:
+        got = model.encode_batch([text])[0].tolist()
+        assert max(map(len, model._loose(text))) < 4000
+    finally:
+        pieces._BLOCK = pieces_block
+    assert got == sp.encode(text)
+
+
+def test_warc_ids_and_long_headers(spark):
+    """Text ids, null and repeated ids, white space and a very long address come back."""
+    long_url = "http://h/" + "a b" * 500_000
+    rows = [("b x", "http://h/1 2", "same"), ("a", long_url, "same"), (None, None, "same"), (None, None, "alone"), ("a", "u", "same"), ("c", "u", None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    folder = warc.archive_folder(spark)
+    got = collections.Counter((r["record_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(warc.write_warc(pages, folder), folder).collect())
+    a = "urn:x-record:a"
+    assert got == {(a, "response", None): 2, ("urn:x-record:b%20x", "revisit", a): 1, ("urn:x-record:", "revisit", a): 1, ("urn:x-record:", "response", None): 1, ("urn:x-record:c", "response", None): 1}
+
+
+def test_toxicity_sample_of_repeated_and_null_rows(spark):
+    rng = random.Random(5)
+    plain = ["w%s" % "".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(plain, k=40) + (["vile", "nasty", "rotten"] if i % 5 == 0 else []))) for i in range(600)]
+    labels = [(i, int(i % 5 == 0)) for i in range(600)] + [(5, None), (None, 1), (3, 0), (10**6, 1)]
+    docs = spark.createDataFrame(rows + rows[:50] * 3 + [(None, "x"), (7, None), (8, "")], "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = toxicity._sample(docs, table, "doc_id", "text", "toxic", 500)
+    assert len(found) <= 500
+    model = toxicity.fit(docs, table, grade_col="toxic")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs.where("text is not null and doc_id is not null"), model).collect()}
+    assert sum(got[i] == (i % 5 == 0) for i in range(600)) >= 595
+    brute = {i: model.severities(t) for i, t in rows}
+    assert all((brute[i][0] >= 0.5) == got[i] for i, _ in rows if i != 8)
+    assert toxicity.fit(docs, table.limit(0), grade_col="toxic").weights == {} and toxicity.fit(docs.limit(0), table, grade_col="toxic").weights == {}

@@ -4,11 +4,16 @@ A turn is written as [TURN role]text</s>. Inside roles and texts the characters
 strings need are written with a backslash: \\ as \\s, < as \\l, [ as \\b, ] as \\e; so no text can
 forge a mark, and since a backslash always begins such a pair, plain replacements undo it.
 
-Prefix sums of turn tokens place turns in spans: a turn that begins at token a of its
-conversation is in span a div stride, the stride being the budget without the system turn and
-the history. Each later window starts with the system turn and the last turns of the window
-before it, as far as they fit the history. A turn is a target once: in the window where it is
-new. Turns are never cut; a span ends with the turn that reaches the stride.
+Prefix sums of turn tokens place turns in spans. The stride is the budget without the system turn
+and the history. Turns within one stride cell of their conversation are a span; a turn across a
+border of cells opens the span of the later cell if both fit the stride, else it is a span by
+itself. A window is a span after the system turn and the last turns before the span, as far as
+these fit the history. A turn is a target once: in the window where it is new. Turns are never
+cut. A turn over the stride is a window of its own, without history, and with the system turn only
+if both fit the budget; only a turn over the whole budget makes a window over it.
+
+Prefix sums are taken in steps of the turn numbers first and over the steps' sums then, so that a
+long conversation is no single task.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the template: what is escaped, and how.
 ESCAPES = [("\\", "\\s"), ("<", "\\l"), ("[", "\\b"), ("]", "\\e")]
 OPEN, CLOSE, END = "[TURN ", "]", "</s>"
+#: Turn numbers whose sums are taken together.
+_STEP = 1024
 
 
 def escape(text: Column) -> Column:
@@ -33,35 +40,93 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def tokens(text: Column) -> Column:
-    """An estimate of a turn's tokens that any tokenizer's budget can be scaled to: one per four characters, and its mark."""
-    return F.ceil(F.length(text) / 4) + 1
+def written(role: Column, body: Column) -> Column:
+    """The turn in the template."""
+    return F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE), escape(body), F.lit(END))
+
+
+def tokens(role: Column, body: Column) -> Column:
+    """A turn's tokens, reckoned as one for each four characters of its written form, rounded up."""
+    return F.ceil(F.length(written(role, body)) / 4)
+
+
+def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    cond = F.lit(True)
+    for n in names:
+        cond &= a[n].eqNullSafe(b[n])
+    return cond
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with `at` (from 1) and `a` (tokens before, the system turn apart) in their conversations.
+
+    Local numbers and sums go over _STEP turn numbers; what lies before is summed over the steps.
+    """
+    order = Window.partitionBy("conv_id", "step").orderBy("turn", "role", "body")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("step", F.floor(F.col("turn") / _STEP))
+    sums = rows.groupBy("conv_id", "step").agg(F.count("*").alias("count"), F.sum("size").alias("sum"))
+    steps = Window.partitionBy("conv_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("conv_id").alias("c"), F.col("step").alias("s"), F.coalesce(F.sum("count").over(steps), F.lit(0)).alias("n0"), F.coalesce(F.sum("sum").over(steps), F.lit(0)).alias("a0"))
+    local = rows.withColumn("n1", F.row_number().over(order)).withColumn("a1", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    met = local.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("step").eqNullSafe(F.col("s")))
+    return met.select("conv_id", "role", "body", "size", (F.col("n0") + F.col("n1")).alias("at"), (F.col("a0") + F.col("a1")).alias("a"))
 
 
 def windows(turns: DataFrame, budget: int = 2048, history: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target: str = "assistant") -> DataFrame:
-    """Rows (conv_id, window, text, n_repeated, loss_spans) in the template.
+    """Rows (conv_id, window, text, tokens, n_repeated, loss_spans) in the template.
 
-    window counts from 1; n_repeated leading turns are repeats; loss_spans are (start, stop) code
-    points of text: the escaped texts of target turns that are new here. Turns go by turn, then
-    role and text where turns tie; a null text or role is empty; null conversation ids are one
+    window counts from 1; tokens are those of its turns, at most the budget unless one turn has
+    more; n_repeated leading turns are repeats; loss_spans are (start, stop) code points of text:
+    the escaped texts of target turns that are new here. Turns go by turn (null first), then role
+    and text where turns tie; a null text or role is empty; null conversation ids are one
     conversation; an empty table gives no windows; other columns are not read.
+
+    A first turn of role system is kept at the head of each window if it has at most a quarter of
+    the budget; a longer one is a turn like others. history is half the budget at most.
     """
-    rows = turns.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")
-    ).withColumn("size", tokens(F.col("body")))
-    whole = Window.partitionBy("conv_id")
-    order = whole.orderBy("turn", "role", "body")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("a", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    is_system = (F.col("at") == 1) & (F.col("role") == "system")
-    rows = rows.withColumn("system", is_system).withColumn("fixed", F.first(F.when(is_system, F.col("size")).otherwise(0)).over(order))
-    stride = F.greatest(F.lit(budget - history) - F.col("fixed"), F.lit(1))
-    rows = rows.withColumn("span", F.floor(F.col("a") / stride)).withColumn("window", F.dense_rank().over(whole.orderBy("span")))
-    rows = rows.withColumn("stop", F.max(F.col("a") + F.col("size")).over(Window.partitionBy("conv_id", "window"))).withColumn("windows", F.max("window").over(whole))
-    again = ~F.col("system") & (F.col("stop") - F.col("a") <= history) & (F.col("window") < F.col("windows"))
-    later = F.when(F.col("system") & (F.col("windows") > 1), F.sequence(F.lit(2), F.col("windows"))).when(again, F.array(F.col("window") + 1)).otherwise(F.array().cast("array<int>"))
-    places = F.concat(F.array(F.struct(F.col("window").alias("w"), F.lit(True).alias("new"))), F.transform(later, lambda w: F.struct(w.alias("w"), F.lit(False).alias("new"))))
-    placed = rows.select("conv_id", "at", "role", "body", F.explode(places).alias("p")).select("conv_id", F.col("p.w").alias("window"), F.struct("at", F.col("p.new").alias("new"), "role", "body").alias("t"))
+    if not 0 <= history <= budget // 2:
+        raise ValueError("history must be at most half the budget")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("body"))
+    rows = _numbered(rows.withColumn("size", tokens(F.col("role"), F.col("body"))))
+    is_system = (F.col("at") == 1) & (F.col("role") == "system") & (F.col("size") <= budget // 4)
+    system = rows.where(is_system).select(F.col("conv_id").alias("s_conv"), F.col("role").alias("s_role"), F.col("body").alias("s_body"), F.col("size").alias("fixed"))
+    rows = rows.where(~is_system).join(system.select("s_conv", "fixed"), F.col("conv_id").eqNullSafe(F.col("s_conv")), "left")
+    rows = rows.withColumn("fixed", F.coalesce("fixed", F.lit(0))).withColumn("a", F.col("a") - F.col("fixed"))
+    rows = rows.withColumn("stride", F.lit(budget - history) - F.col("fixed"))
+    last = F.floor((F.col("a") + F.col("size") - 1) / F.col("stride"))
+    rows = rows.withColumn("cell", last).withColumn("across", F.floor(F.col("a") / F.col("stride")) < last)
+    # Of each cell: the turn that reaches into it, and those within it.
+    cells = rows.groupBy("conv_id", "cell").agg(
+        F.first("stride").alias("stride"), F.first("fixed").alias("fixed"),
+        *[F.sum(F.when(F.col("across") == x, F.col("size"))).alias(f"size{i}") for i, x in enumerate((True, False))],
+        *[F.min(F.when(F.col("across") == x, F.col("a"))).alias(f"from{i}") for i, x in enumerate((True, False))],
+    )
+    one = (F.col("size0") + F.col("size1")) <= F.col("stride")
+    span = lambda i, size, start: F.struct(F.lit(i).alias("half"), size.alias("new"), start.alias("start"))
+    both = F.array(span(0, F.col("size0"), F.col("from0")), span(1, F.col("size1"), F.col("from1")))
+    spans = cells.withColumn("one", F.coalesce(one, F.lit(False))).withColumn("h", F.explode(F.when(F.col("one"), F.array(span(0, F.col("size0") + F.col("size1"), F.col("from0")))).otherwise(F.filter(both, lambda x: x["new"].isNotNull()))))
+    spans = spans.select("conv_id", "cell", "one", "stride", "fixed", "h.*")
+    # The first span leaves the system turn a window of its own if they don't fit together.
+    led = (F.col("fixed") > 0) & (F.col("new") + F.col("fixed") <= budget)
+    in_order = Window.partitionBy("conv_id").orderBy("cell", "half")
+    spans = spans.withColumn("led", led).withColumn("window", F.row_number().over(in_order)).withColumn("alone", F.first((F.col("fixed") > 0) & ~F.col("led")).over(in_order))
+    spans = spans.withColumn("window", F.col("window") + F.col("alone").cast("int"))
+    halves = spans.select(F.col("conv_id").alias("h_conv"), F.col("cell").alias("h_cell"), F.col("half"), "one", "window")
+    fresh = rows.join(halves, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("cell") == F.col("h_cell")) & (F.col("one") | (F.col("across") == (F.col("half") == 0))))
+    turn = lambda at, new, role, body, size: F.struct(at.alias("at"), new.alias("new"), role.alias("role"), body.alias("body"), size.alias("size"))
+    placed = fresh.select("conv_id", "window", turn(F.col("at"), F.lit(True), F.col("role"), F.col("body"), F.col("size")).alias("t"))
+    if history:
+        # A turn is history of the spans that start at most `history` tokens after its own start: they share a bucket.
+        later = spans.where((F.col("start") > 0) & (F.col("new") <= F.col("stride"))).select(F.col("conv_id").alias("l_conv"), F.floor(F.col("start") / history).alias("l_at"), "start", F.col("window").alias("l_window"))
+        past = rows.where(F.col("size") <= history).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("a") + F.col("size")) / history), F.floor((F.col("a") + history) / history))))
+        again = past.join(later, F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("bucket") == F.col("l_at")) & (F.col("a") + F.col("size") <= F.col("start")) & (F.col("start") <= F.col("a") + history))
+        placed = placed.union(again.select("conv_id", F.col("l_window").alias("window"), turn(F.col("at"), F.lit(False), F.col("role"), F.col("body"), F.col("size")).alias("t")))
+    # The system turn is new in the first window, and leads the others that have room for it.
+    heads = spans.where("led or (alone and window = 2)").select(F.col("conv_id").alias("l_conv"), F.when(F.col("led"), F.col("window")).otherwise(1).alias("l_window"))
+    heads = system.join(heads, F.col("s_conv").eqNullSafe(F.col("l_conv")), "left").withColumn("w", F.coalesce("l_window", F.lit(1)))
+    placed = placed.union(heads.select(F.col("s_conv").alias("conv_id"), F.col("w").alias("window"), turn(F.lit(1).cast("long"), F.col("w") == 1, F.col("s_role"), F.col("s_body"), F.col("fixed")).alias("t")))
     # A window holds few turns: each has a token at least.
     grouped = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(CLOSE))
@@ -78,8 +143,9 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, conv_col:
 
     return grouped.select(
         "conv_id",
-        "window",
+        F.col("window").cast("int").alias("window"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("text"),
+        F.aggregate("ts", F.lit(0).cast("long"), lambda n, t: n + t["size"]).alias("tokens"),
         F.size(F.filter("parts", lambda p: ~p["new"])).alias("n_repeated"),
         F.aggregate("parts", start, add)["spans"].alias("loss_spans"),
     )

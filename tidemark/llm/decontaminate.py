@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -28,6 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidemark.llm.common import small_batches, type_of
 
 _PUNCTUATION = bytes(i for i in range(128) if not chr(i).isalnum())
+#: Words of the items of a block: an index takes some hundred bytes for each.
+_BLOCK_WORDS = 400_000
 _PLAIN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
@@ -92,9 +93,8 @@ class Index:
             both = [(a * self.size + b, i) for i, (_, w) in enumerate(self.items) if len(w) == n for a, b in set(zip(w, w[1:], strict=False))]
             code, who = np.array(sorted(both), dtype=np.int64).reshape(-1, 2).T
             self.holders[n] = (np.searchsorted(self.pairs, code), who)
-        longest = max(self.lengths, default=0)
         rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, (walks, 2 * longest, self.size + 1), dtype=np.uint8)
+        self.salts = rng.integers(1, 1 << 62, walks, dtype=np.uint64) | np.uint64(1)
         self.mix = rng.integers(1, 1 << 62, sampled, dtype=np.int64) | 1
         self.turn = rng.integers(1, 1 << 62, self.repeats, dtype=np.int64)
         #: For each length: the sampled positions of each repetition, and the items' keys in order with their items.
@@ -102,25 +102,35 @@ class Index:
         for n in self.lengths:
             chosen = [np.sort(rng.choice(2 * n, size=min(sampled, 2 * n), replace=False)) for _ in range(self.repeats)]
             own = np.array([i for i, (_, w) in enumerate(self.items) if len(w) == n])
-            keys = self._keys(np.array([self.items[i][1] for i in own]), chosen)
+            flat = np.array([w for i in own for w in self.items[i][1]], dtype=np.int64)
+            keys = self._keys(np.concatenate([flat, [0]]), np.arange(len(own)) * n, n, chosen)
             order = np.argsort(keys.ravel(), kind="stable")
             self.classes[n] = (chosen, keys.ravel()[order], np.tile(own, self.repeats)[order])
 
-    def _keys(self, windows: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
-        """repeats x windows: the repetition and the sampled positions of the CGK embedding, mixed to a number."""
-        m, n = windows.shape
-        padded = np.concatenate([windows, np.full((m, 1), self.size)], axis=1)  # the end's own symbol
-        rows, out = np.arange(m), np.zeros((len(chosen), m), dtype=np.int64)
+    def _keys(self, text: np.ndarray, starts: np.ndarray, n: int, chosen: list[np.ndarray]) -> np.ndarray:
+        """repeats x windows: the repetition and the sampled positions of the CGK embedding, mixed to a number.
+
+        Windows are the n words of text from each start. A walk's bit for a step and a symbol is
+        that of a hash, and only sampled positions are kept: nothing grows with the items' length.
+        """
+        m = len(starts)
+        out = np.zeros((len(chosen), m), dtype=np.int64)
         for walk in range(self.walks):
-            at, seen = np.zeros(m, dtype=np.int64), np.zeros((2 * n, m), dtype=np.int64)
-            for j in range(2 * n):
-                symbol = padded[rows, at]
-                seen[j] = symbol
-                at = np.minimum(at + self.bits[walk, j, symbol], n)
+            wanted: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for r in range(walk, len(chosen), self.walks):
-                with np.errstate(over="ignore"):
-                    out[r] = (seen[chosen[r]] * self.mix[: len(chosen[r]), None]).sum(axis=0) + self.turn[r]
-        return out
+                for s, j in enumerate(chosen[r].tolist()):
+                    wanted[j].append((r, s))
+            at = np.zeros(m, dtype=np.int64)
+            with np.errstate(over="ignore"):
+                for j in range(2 * n):
+                    symbol = np.where(at < n, text[np.minimum(starts + at, len(text) - 1)], self.size)  # the end has its own symbol
+                    for r, s in wanted.get(j, ()):
+                        out[r] += symbol * self.mix[s]
+                    h = (symbol.astype(np.uint64) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * self.salts[walk]
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    at = np.minimum(at + (h >> np.uint64(63)).astype(np.int64), n)
+        with np.errstate(over="ignore"):
+            return out + self.turn[: len(chosen), None]
 
     def matches(self, text: bytes | None) -> list[tuple[Any, int, int]]:
         """(item's key, first word of the region, edits) of each item that the text holds."""
@@ -170,9 +180,9 @@ class Index:
             return some
         room = np.full(len(codes) + size, -1, dtype=np.int64)
         room[at] = codes[at]
-        good = []
-        for b in range(0, len(some), 4096):
-            part = some[b : b + 4096]
+        good, block = [], max(1, (1 << 22) // size)
+        for b in range(0, len(some), block):
+            part = some[b : b + block]
             rows = np.sort(room[part[:, None] + np.arange(size)[None, :]], axis=1)
             counted = rows >= 0
             counted[:, self.twice :] &= rows[:, self.twice :] != rows[:, : -self.twice]
@@ -203,7 +213,7 @@ class Index:
         long = np.concatenate([ids, np.full(n, self.size)])
         for b in range(0, len(starts), 4096):
             part = starts[b : b + 4096]
-            keys = self._keys(long[part[:, None] + np.arange(n)[None, :]], chosen)
+            keys = self._keys(long, part, n, chosen)
             low, high = np.searchsorted(table, keys), np.searchsorted(table, keys, side="right")
             for r, j in np.argwhere(high > low).tolist():
                 for i in owners[low[r, j] : high[r, j]].tolist():
@@ -227,9 +237,17 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int, rate: float, recall: float) -> Iterator[Index]:
-    rows = benchmark.select(F.col(item_col), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull()).toLocalIterator()
-    while part := list(islice(rows, block)):  # at most `block` items are on the driver at a time
-        yield Index([(r[0], words(bytes(r[1]))) for r in part], rate, recall)
+    """Indexes of at most `block` items and _BLOCK_WORDS words each, or of one longer item."""
+    held, size = [], 0
+    for r in benchmark.select(F.col(item_col), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull()).toLocalIterator():
+        own = words(bytes(r[1]))
+        if held and (len(held) >= block or size + len(own) > _BLOCK_WORDS):
+            yield Index(held, rate, recall)
+            held, size = [], 0
+        held.append((r[0], own))
+        size += len(own)
+    if held:
+        yield Index(held, rate, recall)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rate: float = 0.2, recall: float = 0.98, block: int = 5000) -> DataFrame:

@@ -26,7 +26,6 @@ _PIECE = 1 << 18  # bytes that are worked on together
 class LanguageModel:
     languages: list[str]
     log_p: np.ndarray  # languages x BUCKETS, float32
-    log_prior: np.ndarray
 
 
 def has_letter(text: str | None) -> bool:
@@ -60,6 +59,17 @@ def _buffer(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def _parts(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about _PIECE bytes that end after white space, or where there is none for as long."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + _PIECE)
+        space = np.flatnonzero(raw[end : end + _PIECE] <= 32)
+        end = end + int(space[0]) + 1 if len(space) else min(len(raw), end + _PIECE)
+        yield at, end
+        at = end
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", most_per_lang: int = 2000) -> LanguageModel:
     """N-gram counts of about most_per_lang documents of each language: the documented bound of the sample.
 
@@ -69,7 +79,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     taught = docs.select(F.col(key_col).cast("string").alias("_k"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("_l")).where("_l is not null and _t is not null")
     counts = {r["_l"]: r["n"] for r in taught.groupBy("_l").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
-        return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32))
+        return LanguageModel([], np.zeros((0, BUCKETS), np.float32))
     languages = sorted(counts)
     rate = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, most_per_lang / counts[k]))]), F.col("_l"))
     sample = taught.where(F.pmod(F.xxhash64(F.col("_k"), F.lit("sample")), F.lit(1_000_000)) < rate * 1_000_000).select("_l", "_t")
@@ -91,7 +101,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
         table[place[r["lang"]], r["bucket"]] = r["n"]
     smoothed = table + 0.5
     log_p = np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).astype(np.float32)
-    return LanguageModel(languages, log_p, np.zeros(len(languages), np.float32))
+    return LanguageModel(languages, log_p)
 
 
 def _em(lik: np.ndarray, doc: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,19 +118,21 @@ def _em(lik: np.ndarray, doc: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
     raise AssertionError
 
 
-def mixtures(texts: list[str | None], model: LanguageModel, penalty: float = 4.0, most_langs: int = 3, rounds: int = 8) -> list[tuple[str, float, list[str], list[float]]]:
+def mixtures(texts: list[str | None], model: LanguageModel, penalty: float = 4.0, rounds: int = 8) -> list[tuple[str, float, list[str], list[float]]]:
     """(main language, its proportion, languages of the best set, their proportions) for each text."""
     out: list[tuple[str, float, list[str], list[float]]] = [(UNDETERMINED, 0.0, [], [])] * len(texts)
     count = len(model.languages)
     if not count:
         return out
     raw, bounds = _buffer(texts)
-    found, (begin, offsets) = ngrams(raw)
-    if not len(begin):
-        words_ll = np.zeros((0, count), np.float32)
-    else:
-        words_ll = np.add.reduceat(model.log_p[:, found], offsets, axis=1).T
-    doc_of = np.searchsorted(bounds, begin, side="right") - 1
+    likely, begins = [np.zeros((0, count), np.float32)], [np.zeros(0, np.int64)]
+    for a, b in _parts(raw):  # so that n-grams of a long text don't stand side by side
+        found, (begin, offsets) = ngrams(raw[a:b])
+        if len(begin):
+            likely.append(np.add.reduceat(model.log_p[:, found], offsets, axis=1).T)
+            begins.append(begin + a)
+    words_ll = np.concatenate(likely)
+    doc_of = np.searchsorted(bounds, np.concatenate(begins), side="right") - 1
     present, starts, sizes = np.unique(doc_of, return_index=True, return_counts=True)
     if len(present):
         top = words_ll.max(axis=1, keepdims=True)
@@ -131,7 +143,7 @@ def mixtures(texts: list[str | None], model: LanguageModel, penalty: float = 4.0
         order = np.argsort(-pi, axis=1, kind="stable")
         rank = np.argsort(order, axis=1)
         best_ll, best_pi = None, None
-        for size in range(1, min(most_langs, count) + 1):
+        for size in range(1, count + 1):  # until one more language helps no text
             allowed = (rank < size).astype(np.float32)
             p, ll = _em(lik, doc, starts, n, allowed, 0 if size == 1 else rounds)
             ll = ll - penalty * (size - 1) * np.log(n + 1)
@@ -139,6 +151,8 @@ def mixtures(texts: list[str | None], model: LanguageModel, penalty: float = 4.0
                 best_ll, best_pi = ll, p
             else:
                 better = ll > best_ll
+                if not better.any():
+                    break
                 best_ll, best_pi = np.where(better, ll, best_ll), np.where(better[:, None], p, best_pi)
         for i, d in enumerate(present):
             kept = [int(k) for k in np.argsort(-best_pi[i], kind="stable") if best_pi[i, k] > 0]

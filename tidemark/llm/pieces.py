@@ -96,6 +96,8 @@ class PieceModel:
                     if x < len(p):
                         self.piece_keys[at, j] |= self.code[p[x]] << shift
                         self.piece_masks[at, j] |= ((1 << self.width) - 1) << shift
+        #: Characters that stand together in some piece; between others no merge can reach.
+        self.bonds = np.unique(np.array([(self.code[a] << 32) | self.code[b] for i in own for a, b in zip(self.pieces[i], self.pieces[i][1:], strict=False)], dtype=np.int64))
         self.piece_sizes = np.array([len(self.pieces[i]) for i in self.own.tolist()], dtype=np.int64)
         self.cache_keys = np.full(1 << _CACHE_BITS, -1, dtype=np.int64)
         self.cache_values = np.zeros(1 << _CACHE_BITS, dtype=bool)
@@ -160,8 +162,28 @@ class PieceModel:
             x, y = np.where(right_last, x, self.right[x]), np.where(right_last, self.left[y], y)
         return out
 
+    def _loose(self, segment: str) -> list[str]:
+        """A very long segment in parts of about _BLOCK characters, cut where no merge can reach across."""
+        codes = self._codes(np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        free = np.flatnonzero(~np.isin((codes[:-1] << 32) | codes[1:], self.bonds)) + 1
+        cuts, at = [0], 0
+        while len(segment) - at > _BLOCK:
+            k = int(np.searchsorted(free, at + _BLOCK // 2))
+            if k == len(free):
+                break
+            at = int(free[k])
+            cuts.append(at)
+        return [segment[a:b] for a, b in zip(cuts, [*cuts[1:], len(segment)], strict=True)]
+
     def encode_segments(self, segments: list[str]) -> list[np.ndarray]:
-        """The ids of each segment."""
+        """The ids of each segment. Blocks are bounded but for a segment that has no place to cut."""
+        if any(len(s) > _BLOCK for s in segments):
+            parts = [self._loose(s) if len(s) > _BLOCK else [s] for s in segments]
+            told = iter(self._encode_blocks([x for p in parts for x in p]))
+            return [np.concatenate([next(told) for _ in p]) for p in parts]
+        return self._encode_blocks(segments)
+
+    def _encode_blocks(self, segments: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         at = 0
         while at < len(segments):

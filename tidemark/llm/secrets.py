@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +25,15 @@ _OTHERS = {
     "access": re.compile(r"AKIA[A-Z0-9]{14,}"),
     "hex": re.compile(r"[0-9a-f]{16,}"),
     "private_key": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,40}PRIVATE KEY-----"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "prefixed": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})"),
     "url_login": re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@"),
 }
 #: A text without such a part has no span of the kind; looking for it first is much quicker.
 _CUES = {"access": "AKIA", "private_key": "PRIVATE KEY-----", "jwt": "eyJ", "url_login": "://"}
 _KEYWORDS = ("pass", "secret", "token", "api")
+#: Shared values are broadcast up to this number; each is a digest of 64 characters.
+_MOST_SHARED = 50_000
 
 
 def spans(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -94,51 +96,63 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows are numbered, as ids may repeat or be null; cut() makes the number hold for both readings.
     found = cut(found.withColumn("_row", F.monotonically_increasing_id()))
     values = found.where("size(values) > 0").select("_row", "_owner", "_repo", F.explode("values").alias("value"))
+    shared, few = shared_values(values, most_owners, most_repos)
+    # Most rows of a value in a third of all documents are of shared values, which are few.
+    told = values.select("_row", "value").join(F.broadcast(shared) if few else shared, "value", "left_semi")
+    per_row = told.groupBy("_row").agg(F.count("*").alias("n_shared"))
+    out = found.withColumn("n", F.size("values").cast("long")).join(per_row, "_row", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long")))
+    return out.select(F.col("_id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", (F.col("n") - F.col("n_shared")).alias("n_live"), "n_shared")
+
+
+def shared_values(values: DataFrame, most_owners: int, most_repos: int) -> tuple[DataFrame, bool]:
+    """The values of (value, _owner, _repo) that count as copied examples, and whether they are at most _MOST_SHARED."""
     owned = values.select("value", "_owner", "_repo").distinct()
-    owners = owned.select("value", "_owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    repos = owned.select("value", "_repo").distinct().groupBy("value").agg(F.count("*").alias("repos"))
-    live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)
-    told = owners.join(repos, "value").select("value", live.alias("live"))
-    per_row = values.groupBy("_row", "value").agg(F.count("*").alias("n")).join(told, "value")
-    per_row = per_row.groupBy("_row").agg(F.sum(F.when(F.col("live"), F.col("n")).otherwise(0)).alias("n_live"), F.sum(F.when(F.col("live"), 0).otherwise(F.col("n"))).alias("n_shared"))
-    out = found.drop("values", "_owner", "_repo").join(per_row, "_row", "left")
-    zero = F.lit(0).cast("long")
-    return out.select(F.col("_id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_shared", zero).alias("n_shared"))
+    counts = owned.groupBy("value").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repo").alias("repos"))
+    shared = cut(counts.where((F.col("owners") > most_owners) | (F.col("repos") > most_repos)).select("value"))
+    return shared, shared.count() <= _MOST_SHARED
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 4, most_repos: int = 4, mask: str = "[SECRET]") -> DataFrame:
     """docs with the values of live-looking spans replaced by mask; all rows and columns stay.
 
     Which values are live is decided over the whole corpus as in secret_scan(). Only hashes move
-    for that; documents then meet the hashes of their own live values by id and text.
+    for that. Shared values being few, their hashes go to the documents, which stay where they are;
+    beyond _MOST_SHARED, documents meet the hashes of their own live values by id and text.
     """
     mark = F.xxhash64(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), mark.alias("_mark"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"), F.to_json(F.struct(*[F.col(c) for c in repo_cols])).alias("_repo"), F.col(text_col).alias("_text"))
     found = cut(scan(rows, "_id", "_text", ["_mark", "_owner", "_repo"]).where("size(values) > 0").select("_id", "_mark", "_owner", "_repo", F.explode("values").alias("value")).distinct())
-    owners = found.select("value", "_owner").distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= most_owners)
-    repos = found.select("value", "_repo").distinct().groupBy("value").agg(F.count("*").alias("repos")).where(F.col("repos") <= most_repos)
-    live = owners.join(repos, "value").select("value")
+    shared, few = shared_values(found, most_owners, most_repos)
+    names, at = docs.columns, docs.columns.index(text_col)
+    if few:
+        held = docs.sparkSession.sparkContext.broadcast(frozenset(r["value"] for r in shared.collect()))  # at most _MOST_SHARED
+
+        def mask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = pa.array([t if t is None else _masked(t, lambda v: v not in held.value, mask) for t in batch.column(at).to_pylist()], pa.string())
+                yield pa.record_batch([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=names)
+
+        return small_batches(docs).mapInArrow(mask_all, docs.schema)
     # The live values of one document: as many as its text has.
-    per_doc = found.select("_id", "_mark", "value").distinct().join(live, "value").groupBy("_id", "_mark").agg(F.collect_set("value").alias("_live"))
+    per_doc = found.select("_id", "_mark", "value").distinct().join(shared, "value", "left_anti").groupBy("_id", "_mark").agg(F.collect_set("value").alias("_live"))
     # The joined names must not clash with any column of docs.
     taken = "_" * (1 + max(map(len, docs.columns)))
     key, text_key, live_key = f"{taken}id", f"{taken}mark", f"{taken}live"
     per_doc = per_doc.select(F.col("_id").alias(key), F.col("_mark").alias(text_key), F.col("_live").alias(live_key))
     marked = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col(key)) & mark.eqNullSafe(F.col(text_key)), "left").select(*docs.columns, live_key)
-    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *columns, live = batch.columns
-            texts = [t if values is None else _masked(t, set(values), mask) for t, values in zip(columns[at].to_pylist(), live.to_pylist(), strict=True)]
+            texts = [t if values is None else _masked(t, set(values).__contains__, mask) for t, values in zip(columns[at].to_pylist(), live.to_pylist(), strict=True)]
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=names)
 
     return small_batches(marked).mapInArrow(run, docs.schema)
 
 
-def _masked(text: str, live: set[str], mask: str) -> str:
-    parts = [m for m in spans(text) if hashlib.sha256(m[3].encode("utf-8", "replace")).hexdigest() in live]
+def _masked(text: str, live: Callable[[str], bool], mask: str) -> str:
+    parts = [m for m in spans(text) if live(hashlib.sha256(m[3].encode("utf-8", "replace")).hexdigest())]
     out, at = [], 0
     for start, end, _, value in parts:
         start += text[start:end].rfind(value)  # of an assignment only the value goes

@@ -457,9 +457,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = points.select("point", F.explode("buckets").alias("bucket"))
     met = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
     met = cut(met.join(met.groupBy("point").agg(F.sum("n").alias("score")), "point").select("bucket", "point", "score"))
-    named = met.select("point").distinct().join(points, "point").select("point", F.col("head.id").alias("_id"), F.col("head.tag").alias("_tag"))
-    texts = source.join(named, (F.col("tag") == F.col("_tag")) & F.col("id").eqNullSafe(F.col("_id"))).select("point", "text")
-    pool = cut(texts.dropDuplicates(["point"]).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))))
+    # Ids are told by their hash beside the text's, so that null ones meet and rows of an id and text stay together.
+    named = met.select("point").distinct().join(points, "point").select("point", F.col("head.tag").alias("tag"), F.xxhash64("head.id").alias("key"))
+    texts = source.select("tag", F.xxhash64("id").alias("key"), "text").join(named, ["tag", "key"]).dropDuplicates(["tag", "key"])
+    pool = cut(texts.select("point", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")))
     free(docs.sparkSession)
 
     edges = docs.sparkSession.createDataFrame([], "u long, v long")
@@ -506,7 +507,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = near_copies(docs, id_col, text_col, shingle, similarity)
     # The joined names must not clash with any column of docs.
     taken = "_" * (1 + max(map(len, docs.columns)))
-    key, tag, other = f"{taken}id", f"{taken}tag", f"{taken}other"
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("component_tag"))).select(F.col(id_col).alias(key), F.col("tag").alias(other)).distinct()
-    marked = docs.withColumn(tag, F.xxhash64(F.col(text_col).cast("binary")))
-    return marked.join(heads, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(tag) == F.col(other)), "left_semi").dropDuplicates([id_col, tag]).select(*docs.columns)
+    own = [f"{taken}id", f"{taken}tag"]
+    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("component_tag"))).select(F.xxhash64(F.col(id_col)).alias(own[0]), F.col("tag").alias(own[1])).distinct()
+    marked = docs.withColumn(own[0], F.xxhash64(F.col(id_col))).withColumn(own[1], F.xxhash64(F.col(text_col).cast("binary")))
+    return marked.join(heads, own, "left_semi").dropDuplicates(own).select(*docs.columns)

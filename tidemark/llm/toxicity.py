@@ -64,7 +64,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grad
     """
     graded = labels.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade")).where("grade is not null and _id is not null")
     chosen = graded.groupBy("_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(chosen, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id")  # at most `most` ids
+    # Rows that repeat an id are one: that with the least hash of its text.
+    rows = rows.groupBy("_id", "grade").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +90,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grad
     return kept
 
 
-def telling(rows: list[tuple[int, set[str]]], least_grade: int, least_df: int = 4, most_features: int = 50_000) -> list[str]:
+def telling(rows: list[tuple[int, set[str]]], least_grade: int, least_df: int = 4) -> list[str]:
     """Features whose rate among rows of at least a grade differs from chance.
 
     The bound is what the largest of so many score tests reaches by chance, sqrt(2 log features)
@@ -100,7 +102,7 @@ def telling(rows: list[tuple[int, set[str]]], least_grade: int, least_df: int =
     mean = sum(g >= least_grade for g, _ in rows) / max(1, len(rows))
     bound = np.sqrt(2 * np.log(max(len(common), 2)))
     far = {f: abs(high_df[f] - df[f] * mean) / np.sqrt(df[f] * (1 - df[f] / len(rows)) * mean * (1 - mean) + 1e-9) for f in common}
-    return [f for f in common if far[f] > bound][:most_features]
+    return [f for f in common if far[f] > bound]
 
 
 def severity_grades(rows: list[tuple[int, set[str]]], levels: int = 3) -> list[tuple[int, set[str]]]:
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     least reject_at; toxic is grade > 0. A null or empty text has no words and gets what the
     thresholds alone say. Repeated rows are scored alike; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most most_features words
+    held = docs.sparkSession.sparkContext.broadcast(model)  # telling words of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from typing import Any, BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,7 +28,7 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 _CHUNK = 1 << 18
-_MOST_HEADER = 1 << 20
+_MOST_HEADER = 64 << 20  # of writer and reader
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -42,14 +44,22 @@ def record(record_id: str, uri: str | None, payload: bytes, refers_to: str | Non
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <{record_id}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {''.join((uri or '').split())}",
+        f"WARC-Target-URI: {_one_line(uri or '')}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         *([f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {PROFILE}"] if refers_to is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(lines).encode() + _END + block + _END
+    head = "\r\n".join(lines).encode()
+    if len(head) > _MOST_HEADER:
+        raise ValueError("a header is longer than readers take")
+    return head + _END + block + _END
+
+
+def _one_line(uri: str) -> str:
+    """The URI with white space and control characters percent-encoded."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: quote(m[0]), uri)
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -81,7 +91,7 @@ class _Member:
         start = 0
         while (at := self.plain.find(mark, start)) < 0:
             start = max(0, len(self.plain) - len(mark))
-            if len(self.plain) > _MOST_HEADER or not self.more():
+            if len(self.plain) > _MOST_HEADER + _CHUNK or not self.more():
                 raise ValueError("a header has no end")
         out = bytes(self.plain[:at])
         del self.plain[: at + len(mark)]
@@ -164,7 +174,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col:
     Bodies move once, by id and digest, to meet the decision; a digest with very many copies
     is decided by a minimum and spread again by the id.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("digest", F.sha1("body"))
     marks = rows.select("id", "digest", (F.length("body") >= min_revisit_bytes).alias("counts")).where("counts")
     firsts = marks.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
@@ -208,8 +218,8 @@ def _folder(folder: str) -> None:
     store.create_dir(root, recursive=True)
 
 
-def _urn(record_id: int | None) -> str:
-    return f"urn:x-record:{'' if record_id is None else record_id}"
+def _urn(record_id: Any) -> str:
+    return f"urn:x-record:{'' if record_id is None else quote(str(record_id), safe='')}"
 
 
 def read_warc(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
