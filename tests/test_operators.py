@@ -88,6 +88,10 @@ def test_streaming_windows_and_dedup(spark, tmp_path):
     q = ordered.deduplicate_stream(stream, ["k", "call"], "ts", "2 hours").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2")).option("path", out2).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(out2).count() == 15
+    out3 = str(tmp_path / "out3")
+    for _ in range(2):  # the second run finds nothing new
+        ordered.apply_log(stream, out3, str(tmp_path / "c3"), "ts").awaitTermination()
+    assert spark.read.parquet(out3).count() == 60
 
 
 @pytest.mark.parametrize("most", [10**6, 0])

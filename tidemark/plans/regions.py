@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import table_functions
 from tidemark.operators import kv, mvcc, stats
 from tidemark.operators import regions as rg
 from tidemark.plans.cluster import _regions, client_refresh
+from tidemark.sources import region_source as region_scan
 from tidemark.sources.tables import table
 from tidemark.streaming import ordered
 
@@ -188,11 +190,31 @@ def merge_into(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mvcc.merge(c, s, "k", delete=F.col("new.v") < 0)
 
 
+def region_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read region by region through the package's own data source."""
+    bounds = list(range(0, 15001, 3000))
+    return region_scan.scan(spark, f"{sf_dir}/orders.parquet", "o_orderkey", bounds).groupBy(F.floor(F.col("o_orderkey") / 3000).alias("region")).agg(F.count("*").alias("n"), F.max("o_custkey").alias("last_customer"))
+
+
+def late_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests below the number that their client is to send next are late, others are accepted."""
+    sent = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("client_id"), F.col("l_linenumber").cast("long").alias("seq"))
+    ahead = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("client_id"), F.pmod("o_custkey", F.lit(8)).alias("next_seq"))
+    return ordered.judged(sent, ahead).groupBy("client_id", "status").agg(F.count("*").alias("n"))
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function in SQL: the parts of page addresses with their places."""
+    spark.udtf.register("path_parts", table_functions.PathParts)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    return spark.sql("SELECT page_id, t.place, t.part FROM pages, LATERAL path_parts(url) t")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         region_scan_page, region_count_merge, index_rows, routed_lock_status, prewrite, two_phase_commit, system_tables, label_match, joint_majority, log_positions, pending_watches, snapshot_bytes, refresh_counters,
-        cache_rates, approximate_users, map_fold_all, map_get, map_read_function, map_update_function, map_count, apply_new_entries, stale_read, routing_tree, merge_into,
+        cache_rates, approximate_users, map_fold_all, map_get, map_read_function, map_update_function, map_count, apply_new_entries, stale_read, routing_tree, merge_into, region_source, late_requests, url_parts,
     )
 }
 
@@ -259,6 +281,9 @@ v AS (SELECT parent AS x FROM e UNION SELECT child FROM e), roots AS (SELECT x F
 r AS (SELECT x FROM roots UNION SELECT child FROM r JOIN e ON parent = x)
 SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM roots) AS roots, (SELECT count(*) FROM (SELECT child FROM e GROUP BY 1 HAVING count(*) > 1)) AS doubled, (SELECT count(*) FROM r) AS reached,
   (SELECT count(*) FROM roots) = 1 AND (SELECT count(*) FROM r) = (SELECT count(*) FROM v) AND (SELECT count(*) FROM e) = (SELECT count(*) FROM v) - 1 AS valid""",
+    "region_source": "SELECT o_orderkey // 3000 AS region, count(*) AS n, max(o_custkey) AS last_customer FROM orders GROUP BY 1",
+    "late_requests": "SELECT l_orderkey AS client_id, CASE WHEN l_linenumber < o_custkey % 8 THEN 'LATE' ELSE 'ACCEPTED' END AS status, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
+    "url_parts": "SELECT page_id, unnest(range(0, len(p))) AS place, unnest(p) AS part FROM (SELECT page_id, string_split(url, '/') AS p FROM pages WHERE url IS NOT NULL)",
     "merge_into": """
 SELECT coalesce(k1, k2) AS k, coalesce(v2, v1) AS v FROM (SELECT c_custkey AS k1, c_acctbal AS v1 FROM customer) FULL JOIN (SELECT s_suppkey * 3 AS k2, s_acctbal AS v2 FROM supplier) ON k1 = k2
 WHERE k1 IS NULL OR k2 IS NULL OR v2 >= 0""",

@@ -67,6 +67,23 @@ def unapplied(entries: DataFrame, applied: DataFrame, key: str) -> DataFrame:
     return met.where(F.col("at").isNull() | (F.struct("term", "idx") > F.col("at"))).drop("_k", "at")
 
 
+def judged(requests: DataFrame, ahead: DataFrame, client: str = "client_id", seq: str = "seq") -> DataFrame:
+    """Requests with a status: LATE below the number that is next for their client (next_seq), else ACCEPTED."""
+    met = requests.join(ahead, client)
+    return met.withColumn("status", F.when(F.col(seq) < F.col("next_seq"), "LATE").otherwise("ACCEPTED")).drop("next_seq")
+
+
+def apply_log(stream: DataFrame, target: str, checkpoint: str, seq: str = "seq"):  # noqa: ANN201
+    """Writes a stream of log entries, each batch in order of seq to a folder of its own below target.
+
+    A batch that is run again after a failure overwrites its own folder, so entries are applied once.
+    """
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.sortWithinPartitions(seq).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def guarded_read(wanted: DataFrame, progress: DataFrame, group: str) -> DataFrame:
     """Reads with a least index, and why one is refused: its group's commit index is behind it."""
     met = wanted.join(progress, group)
