@@ -36,6 +36,12 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package wrote and that no DataFrame still reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
     """df; bounds the bytes of an Arrow batch, so that long texts don't pile up in a Python worker."""
     df.sparkSession.conf.set(_BATCH_BYTES, str(size))

@@ -8,7 +8,7 @@ window as it must is verified too, so that no item depends on the samples' luck.
 
 Only windows that can hold an item are embedded: an edit destroys at most two of an item's word
 pairs, so a passage within k edits of n words keeps at least n - 1 - 2k of them. This test loses
-nothing. Documents are read once for each block of items and never move between tasks.
+nothing. Documents are read once for each _PASS blocks of items and never move between tasks.
 """
 
 from __future__ import annotations
@@ -16,19 +16,20 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import small_batches, type_of
 
 _PUNCTUATION = bytes(i for i in range(128) if not chr(i).isalnum())
-#: Words of the items of a block: an index takes some hundred bytes for each.
-_BLOCK_WORDS = 400_000
+#: Words of the items of a block, whose index takes some hundred bytes for each, and blocks that a task holds.
+_BLOCK_WORDS, _PASS = 400_000, 4
 _PLAIN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
@@ -250,6 +251,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int, rate
         yield Index(held, rate, recall)
 
 
+def _passes(spark: SparkSession, blocks: Iterator[Index]) -> Iterator[list[Any]]:
+    """Broadcasts of the blocks (each of a bounded size), _PASS at a time."""
+    while part := [spark.sparkContext.broadcast(index) for index in islice(blocks, _PASS)]:
+        yield part
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rate: float = 0.2, recall: float = 0.98, block: int = 5000) -> DataFrame:
     """One row (id_col, item_col, edits, start_word) for each row of docs and item that it holds.
 
@@ -261,14 +268,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"`{id_col}` {type_of(docs, id_col)}, `{item_col}` {type_of(benchmark, item_col)}, edits int, start_word int"
     source = small_batches(docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")))
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    for index in _blocks(benchmark, item_col, text_col, block, rate, recall):
-        held = spark.sparkContext.broadcast(index)  # bounded by block items
+    for held in _passes(spark, _blocks(benchmark, item_col, text_col, block, rate, recall)):
 
         def run(batches: Iterator[pa.RecordBatch], held: Any = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, at, found = batch.column(1), [], []
                 for i in range(len(texts)):
-                    own = held.value.matches(texts[i].as_py())
+                    text = texts[i].as_py()
+                    own = [x for index in held for x in index.value.matches(text)]
                     at += [i] * len(own)
                     found += own
                 kept = batch.column(0).take(pa.array(at, pa.int64()))
@@ -282,13 +289,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", rate: float = 0.2, recall: float = 0.98, block: int = 5000) -> DataFrame:
     """docs without rows that hold an item, as contaminated() says; all columns as they are."""
     at = docs.columns.index(text_col)
-    for index in _blocks(benchmark, item_col, "text", block, rate, recall):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for held in _passes(docs.sparkSession, _blocks(benchmark, item_col, "text", block, rate, recall)):
 
         def run(batches: Iterator[pa.RecordBatch], held: Any = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary())
-                yield batch.filter(pa.array([not held.value.matches(texts[i].as_py()) for i in range(len(texts))], pa.bool_()))
+                clean = [not any(index.value.matches(text) for index in held) for text in (texts[i].as_py() for i in range(len(texts)))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs
