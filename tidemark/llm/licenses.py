@@ -113,7 +113,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     some = F.exists("_lines", lambda x: (F.length(x) <= WRAP) & (F.length(F.trim(x)) > 0))
     wrapped = F.when(some & (F.col("_n") > 1), F.flatten(F.transform(starts, runs))).otherwise(F.array().cast("array<struct<line:int,lines:int,text:string>>"))
     told = rows.select(id_col, F.explode(F.concat(one, wrapped)).alias("p")).select(id_col, "p.line", "p.lines", F.col("p.text").alias("_text"))
-    return told.where(F.col("_text").rlike("[A-Za-z0-9]"))
+    return told.where(F.col("_text").rlike("[a-zA-Z0-9]"))
 
 
 def _wordings(docs: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_u
     """
     wordings = _wordings(docs)
     model, bound = fit(cut(_training(docs, id_col, text_col, wordings, most_unlicensed)), false_share)
-    found = paragraphs(docs, id_col, text_col).withColumn("tokens", words(F.col("_text"))).where("size(tokens) > 0").drop("_text")
+    found = paragraphs(docs, id_col, text_col).withColumn("tokens", words(F.col("_text"))).drop("_text")  # each has a letter or digit
     scored = model.transform(found).select(id_col, "line", "lines", "tokens", vector_to_array("p").alias("p")).withColumn("top", _top())
     place = F.array_position(F.slice("p", 1, len(FAMILIES)), F.col("top")).cast("int")
     named = scored.where((F.col("top") >= bound) & (F.col("top") > F.get("p", F.lit(len(FAMILIES)))))
