@@ -208,6 +208,12 @@ SELECT client_id, count(*) AS handled, max(seq) AS last_seq FROM (
   SELECT l_orderkey AS client_id, l_linenumber AS seq, row_number() OVER w AS n, min(l_linenumber) OVER w AS f
   FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
 WHERE seq - f + 1 = n GROUP BY 1""",
+    # Each kept request is the first at least an hour after the one kept before.
+    "request_dedup": """
+WITH RECURSIVE k AS (
+  SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY 1, 2
+  UNION ALL SELECT k.user_id, k.event_type, min(e.ts) FROM k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.t + INTERVAL 1 HOUR GROUP BY k.user_id, k.event_type, k.t)
+SELECT k.user_id, k.event_type, min(event_id) AS event_id FROM k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts = k.t GROUP BY k.user_id, k.event_type, k.t""",
     "message_reassembly": "SELECT conv_id, count(*) AS parts, min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AS complete, string_agg(text, '|' ORDER BY turn) AS text FROM conversations GROUP BY 1",
     "watch_index": """
 SELECT event_type, wanted, reached_at, CASE WHEN reached_at IS NULL THEN 'TIMEOUT' ELSE 'DONE' END AS status FROM (
