@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from sys import intern
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -75,17 +74,17 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grad
                 w = text.lower().split()
                 shingles = [" ".join(w[i : i + 3]).encode("utf-8", "replace") for i in range(max(1, len(w) - 2))]
                 least = [min(xxhash.xxh64_intdigest(s, seed) for s in shingles) >> 1 for seed in (1, 2)]
-                out.append({"_id": key, "grade": grade, "a": least[0], "b": least[1], "words": sorted(words(text))})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_id", batch.schema.field(0).type), ("grade", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("words", pa.list_(pa.string()))]))
+                out.append({"_id": key, "grade": grade, "a": least[0], "b": least[1], "words": " ".join(sorted(words(text)))})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_id", batch.schema.field(0).type), ("grade", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("words", pa.string())]))
 
     kind = type_of(docs, id_col)
-    found = small_batches(rows.select("_id", "_text", "grade")).mapInArrow(told, f"_id {kind}, grade int, a long, b long, words array<string>")
+    found = small_batches(rows.select("_id", "_text", "grade")).mapInArrow(told, f"_id {kind}, grade int, a long, b long, words string")
     seen: set[tuple[int, int, int]] = set()
     kept = []
     for r in sorted(found.collect(), key=lambda r: str(r["_id"])):  # at most `most` rows
         keys = {(r["grade"], 0, r["a"]), (r["grade"], 1, r["b"])}
         if not keys & seen:
-            kept.append((r["grade"], set(map(intern, r["words"]))))
+            kept.append((r["grade"], set(map(intern, r["words"].split()))))
         seen |= keys
     return kept
 
@@ -96,13 +95,24 @@ def telling(rows: list[tuple[int, set[str]]], least_grade: int, least_df: int =
     The bound is what the largest of so many score tests reaches by chance, sqrt(2 log features)
     deviations, as else the many rare features learn single labels by heart.
     """
-    df = Counter(f for _, ws in rows for f in {f for w in ws for f in features(w)})
-    high_df = Counter(f for g, ws in rows if g >= least_grade for f in {f for w in ws for f in features(w)})
-    common = [f for f, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= least_df]
-    mean = sum(g >= least_grade for g, _ in rows) / max(1, len(rows))
-    bound = np.sqrt(2 * np.log(max(len(common), 2)))
-    far = {f: abs(high_df[f] - df[f] * mean) / np.sqrt(df[f] * (1 - df[f] / len(rows)) * mean * (1 - mean) + 1e-9) for f in common}
-    return [f for f in common if far[f] > bound]
+    if not rows:
+        return []
+    # Features are counted by their hashes, as there are many and few will tell.
+    own = [np.unique(np.array([_hash(f) for w in ws for f in features(w)], dtype=np.uint64)) for _, ws in rows]
+    high = np.repeat(np.array([g >= least_grade for g, _ in rows]), [len(h) for h in own])
+    known, place, df = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    high_df = np.bincount(place, weights=high, minlength=len(known))
+    mean = sum(g >= least_grade for g, _ in rows) / len(rows)
+    common = df >= least_df
+    bound = np.sqrt(2 * np.log(max(int(common.sum()), 2)))
+    far = np.abs(high_df - df * mean) / np.sqrt(df * (1 - df / len(rows)) * mean * (1 - mean) + 1e-9)
+    told = dict(zip(known[common & (far > bound)].tolist(), df[common & (far > bound)].tolist(), strict=True))
+    named = {f: told[h] for _, ws in rows for w in ws for f in features(w) if (h := _hash(f)) in told}
+    return sorted(named, key=lambda f: (-named[f], f))
+
+
+def _hash(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature.encode())
 
 
 def severity_grades(rows: list[tuple[int, set[str]]], levels: int = 3) -> list[tuple[int, set[str]]]:
