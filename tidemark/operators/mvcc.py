@@ -34,19 +34,26 @@ def snapshot(versions: DataFrame, keys: list[str], read_ts: int, committed: str
     return newest(versions.where(visible(read_ts, committed)), keys).where(readable())
 
 
-def as_of(probes: DataFrame, versions: DataFrame, key: str, ts: str, commit_ts: str = "commit_ts") -> DataFrame:
+def as_of(probes: DataFrame, versions: DataFrame, key: str, ts: str, commit_ts: str = "commit_ts", width: int = 1 << 40) -> DataFrame:
     """Each probe with the newest version at or before its time (null where there is none).
 
     Probes and versions are laid in one column and swept by key and time, so nothing is paired:
-    the cost is one sort, whatever the number of versions of a key.
+    the cost is one sort, whatever the number of versions of a key. A key's time is cut into ranges
+    of `width`, each swept in a task of its own; what comes before a range is carried in from the
+    newest versions of the ranges, one row each.
     """
     from pyspark.sql import Window
 
     rest = [c for c in versions.columns if c != key]
     left = probes.select(F.col(key), F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*[c for c in probes.columns if c != key]).alias("_p"), F.lit(None).cast(versions.select(F.struct(*rest).alias("s")).schema["s"].dataType).alias("_v"))
     right = versions.select(F.col(key), F.col(commit_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), F.struct(*rest).alias("_v"))
-    sweep = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    swept = left.union(right).withColumn("_v", F.last("_v", ignorenulls=True).over(sweep)).where("_side = 1")
+    both = left.union(right).withColumn("_b", F.floor(F.col("_t") / width))
+    sweep = Window.partitionBy(key, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("_v", F.last("_v", ignorenulls=True).over(sweep)).where("_side = 1")
+    ranges = both.groupBy(key, "_b").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(F.col(key).alias("_ck"), F.col("_b").alias("_cb"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    swept = swept.join(carried, F.col(key).eqNullSafe(F.col("_ck")) & F.col("_b").eqNullSafe(F.col("_cb"))).withColumn("_v", F.coalesce("_v", "_carried"))
     return swept.select(key, *[F.col(f"_p.{c}").alias(c) for c in probes.columns if c != key], *[F.col(f"_v.{c}").alias(f"v_{c}") for c in rest])
 
 

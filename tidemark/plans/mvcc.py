@@ -33,7 +33,7 @@ def mvcc_snapshot_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mvcc_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a probe of its customer's version at a time that its key gives."""
     probes = table(spark, sf_dir, "orders").select(F.pmod("o_custkey", F.lit(200)).alias("user_id"), "o_orderkey", F.pmod(F.col("o_orderkey") * 7, F.lit(11000)).alias("ts"))
-    out = mvcc.as_of(probes, versions(spark, sf_dir).select("user_id", "commit_ts", "payload"), "user_id", "ts")
+    out = mvcc.as_of(probes, versions(spark, sf_dir).select("user_id", "commit_ts", "payload"), "user_id", "ts", width=1000)
     return out.select("user_id", "o_orderkey", "ts", "v_commit_ts", "v_payload")
 
 

@@ -196,6 +196,31 @@ def region_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_scan.scan(spark, f"{sf_dir}/orders.parquet", "o_orderkey", bounds).groupBy(F.floor(F.col("o_orderkey") / 3000).alias("region")).agg(F.count("*").alias("n"), F.max("o_custkey").alias("last_customer"))
 
 
+def list_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists without repeats in their order, and whether two lists are equal whatever their order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.array(*[F.pmod(F.col("o_orderkey") * i, F.lit(5)) for i in (3, 1, 4, 1)]).alias("a"), F.array(*[F.pmod(F.col("o_orderkey") * i, F.lit(5)) for i in (1, 4, 1, 8)]).alias("b"))
+    return o.select("o_orderkey", F.array_join(F.array_distinct("a"), ",").alias("once"), (F.array_sort("a") == F.array_sort("b")).alias("same"))
+
+
+def region_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of regions put together as a bag, with the region's place and the row's place in it."""
+    from pyspark.sql import Window
+
+    rows = rg.route(table(spark, sf_dir, "orders").select("o_orderkey"), _regions(spark, sf_dir), "o_orderkey").where("region_id is not null")
+    place = F.substring("region_id", 2, 10).cast("long")
+    return rows.select(place.alias("region"), "o_orderkey", F.row_number().over(Window.partitionBy("region_id").orderBy("o_orderkey")).cast("long").alias("place"))
+
+
+def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of dates, arrays and maps."""
+    day = F.col("o_orderdate")
+    held = F.map_from_arrays(F.array(F.lit("y"), F.lit("m")), F.array(F.year(day), F.month(day)))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.quarter(day).cast("long").alias("quarter"), F.datediff(F.last_day(day), day).cast("long").alias("left"), F.date_format(F.add_months(F.to_date(day), 1), "yyyy-MM-dd").alias("next"),
+        (held["y"] * 100 + held["m"]).cast("long").alias("ym"), F.array_max(F.array(F.dayofmonth(day), F.month(day))).cast("long").alias("greater"), F.array_join(F.map_keys(held), "").alias("names"),
+    )
+
+
 def late_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests below the number that their client is to send next are late, others are accepted."""
     sent = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("client_id"), F.col("l_linenumber").cast("long").alias("seq"))
@@ -214,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         region_scan_page, region_count_merge, index_rows, routed_lock_status, prewrite, two_phase_commit, system_tables, label_match, joint_majority, log_positions, pending_watches, snapshot_bytes, refresh_counters,
-        cache_rates, approximate_users, map_fold_all, map_get, map_read_function, map_update_function, map_count, apply_new_entries, stale_read, routing_tree, merge_into, region_source, late_requests, url_parts,
+        cache_rates, approximate_users, map_fold_all, map_get, map_read_function, map_update_function, map_count, apply_new_entries, stale_read, routing_tree, merge_into, region_source, late_requests, url_parts, list_equality, region_union, date_parts,
     )
 }
 
@@ -281,6 +306,13 @@ v AS (SELECT parent AS x FROM e UNION SELECT child FROM e), roots AS (SELECT x F
 r AS (SELECT x FROM roots UNION SELECT child FROM r JOIN e ON parent = x)
 SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM roots) AS roots, (SELECT count(*) FROM (SELECT child FROM e GROUP BY 1 HAVING count(*) > 1)) AS doubled, (SELECT count(*) FROM r) AS reached,
   (SELECT count(*) FROM roots) = 1 AND (SELECT count(*) FROM r) = (SELECT count(*) FROM v) AND (SELECT count(*) FROM e) = (SELECT count(*) FROM v) - 1 AS valid""",
+    "list_equality": """
+SELECT o_orderkey, array_to_string(list_transform(list_filter(range(1, 5), lambda i: list_position(a, a[i]) = i), lambda i: a[i]), ',') AS once, list_sort(a) = list_sort(b) AS same
+FROM (SELECT o_orderkey, [o_orderkey * 3 % 5, o_orderkey % 5, o_orderkey * 4 % 5, o_orderkey % 5] AS a, [o_orderkey % 5, o_orderkey * 4 % 5, o_orderkey % 5, o_orderkey * 8 % 5] AS b FROM orders)""",
+    "region_union": f"SELECT region, o_orderkey, row_number() OVER (PARTITION BY region ORDER BY o_orderkey) AS place FROM (SELECT substr({_REGION}, 2)::BIGINT AS region, o_orderkey FROM orders)",
+    "date_parts": """
+SELECT o_orderkey, quarter(o_orderdate) AS quarter, datediff('day', o_orderdate, last_day(o_orderdate)) AS "left", strftime(o_orderdate::DATE + INTERVAL 1 MONTH, '%Y-%m-%d') AS next,
+       year(o_orderdate) * 100 + month(o_orderdate) AS ym, greatest(day(o_orderdate), month(o_orderdate)) AS greater, 'ym' AS names FROM orders""",
     "region_source": "SELECT o_orderkey // 3000 AS region, count(*) AS n, max(o_custkey) AS last_customer FROM orders GROUP BY 1",
     "late_requests": "SELECT l_orderkey AS client_id, CASE WHEN l_linenumber < o_custkey % 8 THEN 'LATE' ELSE 'ACCEPTED' END AS status, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
     "url_parts": "SELECT page_id, unnest(range(0, len(p))) AS place, unnest(p) AS part FROM (SELECT page_id, string_split(url, '/') AS p FROM pages WHERE url IS NOT NULL)",
