@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 #: Fixed values of the template: what is escaped, and how.
 ESCAPES = [("\\", "\\s"), ("<", "\\l"), ("[", "\\b"), ("]", "\\e")]
 OPEN, CLOSE, END = "[TURN ", "]", "</s>"
@@ -89,7 +91,8 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, conv_col:
         raise ValueError("history must be at most half the budget")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("body"))
-    rows = _numbered(rows.withColumn("size", tokens(F.col("role"), F.col("body"))))
+    # Written once, as turns meet their spans, the history and the system turn from here.
+    rows = cut(_numbered(rows.withColumn("size", tokens(F.col("role"), F.col("body")))))
     is_system = (F.col("at") == 1) & (F.col("role") == "system") & (F.col("size") <= budget // 4)
     system = rows.where(is_system).select(F.col("conv_id").alias("s_conv"), F.col("role").alias("s_role"), F.col("body").alias("s_body"), F.col("size").alias("fixed"))
     rows = rows.where(~is_system).join(system.select("s_conv", "fixed"), F.col("conv_id").eqNullSafe(F.col("s_conv")), "left")
@@ -112,7 +115,7 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, conv_col:
     led = (F.col("fixed") > 0) & (F.col("new") + F.col("fixed") <= budget)
     in_order = Window.partitionBy("conv_id").orderBy("cell", "half")
     spans = spans.withColumn("led", led).withColumn("window", F.row_number().over(in_order)).withColumn("alone", F.first((F.col("fixed") > 0) & ~F.col("led")).over(in_order))
-    spans = spans.withColumn("window", F.col("window") + F.col("alone").cast("int"))
+    spans = cut(spans.withColumn("window", F.col("window") + F.col("alone").cast("int")))
     halves = spans.select(F.col("conv_id").alias("h_conv"), F.col("cell").alias("h_cell"), F.col("half"), "one", "window")
     fresh = rows.join(halves, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("cell") == F.col("h_cell")) & (F.col("one") | (F.col("across") == (F.col("half") == 0))))
     turn = lambda at, new, role, body, size: F.struct(at.alias("at"), new.alias("new"), role.alias("role"), body.alias("body"), size.alias("size"))
