@@ -7,7 +7,7 @@ import re
 from itertools import combinations
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, pieces, queries, secrets
+from tidemark.llm import decontaminate, pieces, queries, secrets, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,9 +32,8 @@ def test_stages_against_brute_force(spark):
         docs = spark.createDataFrame(rows, docs.schema)
 
     before, rows = seen["toxicity"]
-    kept = {r["doc_id"] for r in rows}
-    assert sum(d in kept for d, t in labels.items() if t == 0 and d in before) >= 0.97 * sum(t == 0 for t in labels.values())
-    assert sum(d in kept for d, t in labels.items() if t == 1) <= 0.1 * sum(t == 1 for t in labels.values()) + 1
+    model = toxicity.fit(spark.createDataFrame(list(before.values())), spark.createDataFrame(list(labels.items()), "doc_id long, toxic long"), grade_col="toxic")
+    assert {r["doc_id"] for r in rows} == {d for d, r in before.items() if model.severities(r["text"])[0] < 0.5}
 
     before, rows = seen["simhash_dedup"]
     sets = {d: shingles(r["text"]) for d, r in before.items()}
@@ -80,6 +79,15 @@ def test_stages_against_brute_force(spark):
     assert all(r["round_trip"] and model.decode(r["token_ids"]) == before[r["doc_id"]]["text"] for r in rows) and len(rows) == len(before)
 
 
+def test_toxic_documents_go(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.1").collect()}
+    told = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    for grade, least in ((0, 0.97), (1, 0.9)):
+        own = [d for d, t in told.items() if t == grade]
+        assert sum((d in kept) == (grade == 0) for d in own) >= least * len(own)
+
+
 def test_stages_over_odd_rows(spark):
     """Nulls in any column, empty and long texts, repeated rows, other columns of clashing names, empty tables."""
     rng = random.Random(2)

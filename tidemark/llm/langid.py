@@ -19,6 +19,8 @@ from tidemark.llm.common import small_batches, type_of
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
+#: Each language takes 128 KB of the table that all tasks hold.
+_MOST_LANGUAGES = 1000
 _PIECE = 1 << 18  # bytes that are worked on together
 
 
@@ -77,7 +79,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     documents give. Rows with a null text or language teach nothing. No rows: no languages.
     """
     taught = docs.select(F.col(key_col).cast("string").alias("_k"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("_l")).where("_l is not null and _t is not null")
-    counts = {r["_l"]: r["n"] for r in taught.groupBy("_l").agg(F.count("*").alias("n")).collect()}  # a row per language
+    counts = {r["_l"]: r["n"] for r in taught.groupBy("_l").agg(F.count("*").alias("n")).limit(_MOST_LANGUAGES + 1).collect()}
+    if len(counts) > _MOST_LANGUAGES:
+        raise ValueError("more languages than a table of likelihoods can hold")
     if not counts:
         return LanguageModel([], np.zeros((0, BUCKETS), np.float32))
     languages = sorted(counts)

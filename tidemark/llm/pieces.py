@@ -99,9 +99,19 @@ class PieceModel:
         #: Characters that stand together in some piece; between others no merge can reach.
         self.bonds = np.unique(np.array([(self.code[a] << 32) | self.code[b] for i in own for a, b in zip(self.pieces[i], self.pieces[i][1:], strict=False)], dtype=np.int64))
         self.piece_sizes = np.array([len(self.pieces[i]) for i in self.own.tolist()], dtype=np.int64)
+        self._forget()
+        self.spelled = [bytes([self.byte_ids.index(i)]) if i in set(self.byte_ids) else p.encode() for i, p in enumerate(self.pieces)] if self.byte_ids else [p.encode() for p in self.pieces]
+
+    def _forget(self) -> None:
         self.cache_keys = np.full(1 << _CACHE_BITS, -1, dtype=np.int64)
         self.cache_values = np.zeros(1 << _CACHE_BITS, dtype=bool)
-        self.spelled = [bytes([self.byte_ids.index(i)]) if i in set(self.byte_ids) else p.encode() for i, p in enumerate(self.pieces)] if self.byte_ids else [p.encode() for p in self.pieces]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("cache_")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def _merge(self, parts: list[str]) -> tuple[list[str], tuple[str, str]]:
         """Merges as the model does, best score first and from the left; with the last pair merged."""
