@@ -66,10 +66,10 @@ def system_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata as views (nodes, regions, transactions, locks), and how many rows each has."""
     o = table(spark, sf_dir, "orders")
     views = {
-        "adb_nodes": table(spark, sf_dir, "supplier").select(F.col("s_name").alias("node_id"), F.col("s_nationkey").alias("zone")),
-        "adb_regions": _regions(spark, sf_dir),
-        "adb_transactions": o.select(F.col("o_orderkey").alias("txn_id"), F.when(F.col("o_orderstatus") == "F", "COMMITTED").otherwise("OPEN").alias("state")),
-        "adb_locks": o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("key")),
+        "sys_nodes": table(spark, sf_dir, "supplier").select(F.col("s_name").alias("node_id"), F.col("s_nationkey").alias("zone")),
+        "sys_regions": _regions(spark, sf_dir),
+        "sys_transactions": o.select(F.col("o_orderkey").alias("txn_id"), F.when(F.col("o_orderstatus") == "F", "COMMITTED").otherwise("OPEN").alias("state")),
+        "sys_locks": o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("key")),
     }
     for name, view in views.items():
         view.createOrReplaceTempView(name)
@@ -272,8 +272,8 @@ SELECT txn_id, CASE WHEN bad = 0 THEN 'COMMIT' ELSE 'ROLLBACK' END AS outcome, C
   SELECT txn_id, count(*) AS n, count(error) AS bad, count(*) FILTER (part = 1) AS primaries, count(error) FILTER (part = 1) AS primary_bad,
          min(error) FILTER (part = 1) AS primary_error, min(error) AS other_error FROM {_PRE} GROUP BY 1)""",
     "system_tables": """
-SELECT 'adb_nodes' AS name, count(*) AS n FROM supplier UNION ALL SELECT 'adb_regions', count(*) FROM nation WHERE n_nationkey < 23
-UNION ALL SELECT 'adb_transactions', count(*) FROM orders UNION ALL SELECT 'adb_locks', count(*) FROM orders WHERE o_orderstatus = 'P'""",
+SELECT 'sys_nodes' AS name, count(*) AS n FROM supplier UNION ALL SELECT 'sys_regions', count(*) FROM nation WHERE n_nationkey < 23
+UNION ALL SELECT 'sys_transactions', count(*) FROM orders UNION ALL SELECT 'sys_locks', count(*) FROM orders WHERE o_orderstatus = 'P'""",
     "label_match": """
 SELECT DISTINCT doc_id, label FROM documents, (VALUES ('joining', 'the'), ('joining', 'und'), ('ending', 'ing'), ('ending', 'tion'), ('rare', 'zzz')) p(label, pattern) WHERE contains(lower(text), pattern)""",
     "joint_majority": """
