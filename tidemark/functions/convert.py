@@ -195,14 +195,14 @@ def rounded_size(amount: Column) -> Column:
 _PREFIXES = "kmgtpe"
 
 
-def prefix_text(n: Column, unit: str = "", decimals: int = 3) -> Column:
-    """A whole number with its binary prefix: exactly if it divides, else with decimals."""
+def prefix_text(n: Column, unit: str = "", decimals: int = 3, most: str = "e") -> Column:
+    """A whole number with its binary prefix, `most` at most: exactly if it divides, else with decimals."""
     size = F.abs(n)
-    at = F.lit(0)
-    for i in range(len(_PREFIXES)):
+    at, last = F.lit(0), _PREFIXES.index(most) + 1
+    for i in range(last):
         at = F.when(size >= 1 << 10 * (i + 1), i + 1).otherwise(at)
     shown = lambda i: F.format_string(f"%.{decimals}f", size / F.pow(F.lit(1024.0), i))
-    up = F.when((at > 0) & shown(at).startswith("1024"), at + 1).otherwise(at)  # what rounds up to the next prefix
+    up = F.when((at > 0) & (at < last) & shown(at).startswith("1024"), at + 1).otherwise(at)  # what rounds up to the next prefix
     exact = F.pmod(size, F.pow(F.lit(2), 10 * at).cast("long")) == 0
     told = F.when(exact, F.floor(size / F.pow(F.lit(1024.0), at)).cast("string")).otherwise(shown(up))
     place = F.when(exact, at).otherwise(up)
