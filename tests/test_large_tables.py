@@ -24,3 +24,18 @@ def test_prefixes_of_large_keys(spark, tmp_path):
     keys = [1 << 24, (1 << 24) + 1, (1 << 24) + 8192, 10 * (1 << 24) + 5, 1_199_999, 7_199_999, 16383, 16384, 16776]
     part = spark.createDataFrame([(k, size) for k in keys for size in (1, 2, 37, 50)], "p_partkey long, p_size int")
     assert differs(spark, tmp_path, "prefix_units", part=part) is None
+
+
+def test_size_expressions_do_not_multiply(spark):
+    """A size's text is searched a fixed number of times for a row, however its functions are nested."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import convert, scalar
+
+    def searches(c):
+        return spark.range(3).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
+
+    size = convert.parse_size(F.concat(F.col("id"), F.lit("KB")))
+    assert searches(size) == 2 and searches(convert.size_text(convert.rounded_size(convert.rounded_size(size) + 512))) == 2
+    span = scalar.duration_nanos(F.concat(F.col("id"), F.lit("min")))
+    assert searches(convert.prefix_text(span, "B", 2)) <= 4 and searches(scalar.size_bytes(F.concat(F.col("id"), F.lit("kb")))) <= 4

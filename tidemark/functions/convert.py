@@ -11,13 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import half_up
+from tidemark.functions.scalar import half_up, named
 
 
 def _filled(c: Column) -> Column:
     return F.nullif(c.cast("string"), F.lit(""))
 
 
+def once(c: Column, told: Callable[[Column], Column]) -> Column:
+    """told(c), where c is worked out once for a row, however often told names it."""
+    return F.get(F.transform(F.array(c), told), F.lit(0))
+
+
 def _checked(ok: Column, value: Column, kind: str, text: Column) -> Column:
     """value where ok holds; an error where it doesn't; NULL where the text is."""
     return F.when(text.isNull(), F.lit(None)).when(ok, value).otherwise(F.raise_error(F.concat(F.lit(f"not a {kind}: "), text)).cast("string"))
@@ -143,17 +148,10 @@ UNITS = ["bytes", "KB", "MB", "GB", "TB", "PB", "EB", "ZB"]
 _SIZE = r"^((\d*\.)?\d+([eE]\d+)?)\s*(BYTES|B|K|KB|M|MB|G|GB|T|TB|P|PB|E|EB|Z|ZB)?"
 
 
-def _rate(unit: Column) -> Column:
-    out = F.lit(1.0)
-    for i, name in enumerate(UNITS[1:], 1):
-        out = F.when(F.substring(unit, 1, 1) == name[0], F.lit(1024.0**i)).otherwise(out)
-    return out
-
-
 def _amount(text: Column, pattern: str) -> Column:
-    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
-    amount = F.least(number * _rate(F.regexp_extract(text, pattern, 4)), F.lit(9.2e18))
-    return F.when(number.isNull(), F.lit(0).cast("long")).otherwise(F.floor(amount))
+    number = F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("double"), F.lit(0.0))
+    rate = named({name[0]: 1024.0**i for i, name in enumerate(UNITS[1:], 1)}, F.substring(F.regexp_extract(text, pattern, 4), 1, 1))
+    return F.floor(F.least(number * F.coalesce(rate, F.lit(1.0)), F.lit(9.2e18)))
 
 
 def parse_size(c: Column) -> Column:
@@ -174,42 +172,58 @@ def _unit(amount: Column) -> Column:
     return F.when(amount <= 0, F.lit(0)).otherwise(out)
 
 
-def size_text(amount: Column) -> Column:
-    """Bytes in their unit, with three decimals at most."""
+def _told(amount: Column) -> Column:
     unit = _unit(amount)
     shown = half_up(amount / F.pow(F.lit(1024.0), unit), 3)
     return F.concat(F.call_function("format_number", shown, F.lit("#0.###")), F.get(F.array(*[F.lit(x) for x in UNITS]), unit))
 
 
+def size_text(amount: Column) -> Column:
+    """Bytes in their unit, with three decimals at most."""
+    return once(amount, _told)
+
+
 def speed_text(amount: Column) -> Column:
     return F.concat(size_text(amount), F.lit("/S"))
 
 
-def rounded_size(amount: Column) -> Column:
-    """What arithmetic on sizes gives: bytes to three decimals of their unit."""
+def _rounded(amount: Column) -> Column:
     rate = F.pow(F.lit(1024.0), _unit(amount))
     return (half_up(amount / rate, 3) * rate).cast("long")
 
 
+def rounded_size(amount: Column) -> Column:
+    """What arithmetic on sizes gives: bytes to three decimals of their unit."""
+    return once(amount, _rounded)
+
+
 #: Binary prefixes from 2^10 on.
 _PREFIXES = "kmgtpe"
 
 
 def prefix_text(n: Column, unit: str = "", decimals: int = 3, most: str = "e") -> Column:
     """A whole number with its binary prefix, `most` at most: exactly if it divides, else with decimals."""
-    size = F.abs(n)
-    at, last = F.lit(0), _PREFIXES.index(most) + 1
-    for i in range(last):
-        at = F.when(size >= 1 << 10 * (i + 1), i + 1).otherwise(at)
-    shown = lambda i: F.format_string(f"%.{decimals}f", size / F.pow(F.lit(1024.0), i))
-    up = F.when((at > 0) & (at < last) & shown(at).startswith("1024"), at + 1).otherwise(at)  # what rounds up to the next prefix
-    exact = F.pmod(size, F.pow(F.lit(2), 10 * at).cast("long")) == 0
-    told = F.when(exact, F.floor(size / F.pow(F.lit(1024.0), at)).cast("string")).otherwise(shown(up))
-    place = F.when(exact, at).otherwise(up)
-    name = F.substring(F.lit(" " + _PREFIXES), place + 1, F.lit(1))
-    plain = F.concat(size.cast("string"), F.lit(f" {unit}" if unit else ""))
-    sign = F.when(n < 0, "-").otherwise("")
-    return F.concat(sign, F.when(at == 0, plain).otherwise(F.concat(told, F.lit(" "), name, F.lit(unit))))
+    last = _PREFIXES.index(most) + 1
+
+    def prefixed(n: Column) -> Column:
+        size, at = F.abs(n), F.lit(0)
+        for i in range(last):
+            at = F.when(size >= 1 << 10 * (i + 1), i + 1).otherwise(at)
+        return once(F.struct(n.alias("n"), size.alias("size"), at.alias("at")), placed)
+
+    def placed(x: Column) -> Column:
+        n, size, at = x["n"], x["size"], x["at"]
+        shown = lambda i: F.format_string(f"%.{decimals}f", size / F.pow(F.lit(1024.0), i))
+        up = F.when((at > 0) & (at < last) & shown(at).startswith("1024"), at + 1).otherwise(at)  # what rounds up to the next prefix
+        exact = F.pmod(size, F.pow(F.lit(2), 10 * at).cast("long")) == 0
+        told = F.when(exact, F.floor(size / F.pow(F.lit(1024.0), at)).cast("string")).otherwise(shown(up))
+        place = F.when(exact, at).otherwise(up)
+        name = F.substring(F.lit(" " + _PREFIXES), place + 1, F.lit(1))
+        plain = F.concat(size.cast("string"), F.lit(f" {unit}" if unit else ""))
+        sign = F.when(n < 0, "-").otherwise("")
+        return F.concat(sign, F.when(at == 0, plain).otherwise(F.concat(told, F.lit(" "), name, F.lit(unit))))
+
+    return once(n, prefixed)
 
 
 #: Minutes of a unit.

@@ -10,6 +10,11 @@ def _text(c: Column) -> Column:
     return F.nullif(c.cast("string"), F.lit(""))
 
 
+def named(values: dict[str, int] | dict[str, float], name: Column) -> Column:
+    """The value of a name, NULL if there is none; name is worked out once."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), name)
+
+
 def to_long(c: Column) -> Column:
     """Through a decimal, toward zero: '12.7' is 12."""
     return F.trim(_text(c)).cast("decimal(38,18)").cast("long")
@@ -72,9 +77,7 @@ def size_bytes(c: Column) -> Column:
     plain = F.lower(F.replace(_text(c), F.lit("_"), F.lit("")))
     number = F.nullif(F.regexp_extract(plain, r"^\s*(-?\d+)\s*([kmgtpe]?)b?\s*$", 1), F.lit("")).cast("decimal(19,0)")
     unit = F.regexp_extract(plain, r"^\s*(-?\d+)\s*([kmgtpe]?)b?\s*$", 2)
-    factor = F.lit(None)
-    for name, bits in _SIZES:
-        factor = F.when(unit == name, F.lit(1 << bits)).otherwise(factor)
+    factor = named({name: 1 << bits for name, bits in _SIZES}, unit)
     return (number * factor.cast("decimal(19,0)")).cast("long")
 
 
@@ -87,10 +90,7 @@ def duration_nanos(c: Column, default_unit: str = "ms") -> Column:
     plain = F.lower(F.replace(_text(c), F.lit("_"), F.lit("")))
     number = F.nullif(F.regexp_extract(plain, pattern, 1), F.lit("")).cast("long")
     unit = F.coalesce(F.nullif(F.regexp_extract(plain, pattern, 2), F.lit("")), F.lit(default_unit))
-    factor = F.lit(None)
-    for name, nanos in _DURATIONS:
-        factor = F.when(unit == name, F.lit(nanos)).otherwise(factor)
-    return number * factor.cast("long")
+    return number * named(dict(_DURATIONS), unit).cast("long")
 
 
 def round_up(nanos: Column, to: int) -> Column:
