@@ -20,6 +20,7 @@ which a threshold of 0 and the covering radius bring to one anchor. Shingle sets
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -36,13 +37,13 @@ CODE_BITS = 63
 COVERING_RADIUS = 1
 #: Shingles in a sample, and blocks: of pairs at 0.8, 1 - (1 - 0.8 ** 3) ** 12 = 0.9998 meet.
 SAMPLES = (3, 12)
-#: The same for anchors that very many texts share: 0.99 of pairs at 0.8 meet, 0.0016 of those at 0.3.
-MORE_SAMPLES = (8, 25)
+#: Bits of a hash by which shingles are counted to put them in order, rare ones first.
+_SLOT = 18
 #: Texts that are compared with each other in one task: their number and bytes.
 _PART, _PART_BYTES = 256, 4 << 20
 #: Bytes that are hashed together, columns of a product of sets, and what rounding may take.
 _LONG, _COLUMNS, _EPS = 1 << 20, 4096, 1e-9
-_SPACE, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -233,19 +234,30 @@ def _shingle_hashes(raw: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[
 
 
 def _segments(text: bytes, shingle: int) -> Iterator[bytes]:
-    """A long text in parts that share shingle - 1 words, so that each shingle is whole in some part."""
-    at = 0
-    while len(text) - at > _LONG:
-        end = _SPACE.search(text, at + _LONG)
-        if end is None:
-            break
-        part = text[at : end.start()]
-        yield part
-        words = [m.start() for m in _WORD.finditer(part, max(0, len(part) - 4096))][1 - shingle :]
-        # Words of hundreds of letters: the last ones are sought in the whole part.
-        words = words if len(words) == shingle - 1 and len(part) > 4096 else [m.start() for m in _WORD.finditer(part)][1 - shingle :]
-        at = at + words[0] if len(words) == shingle - 1 and words[0] > 0 else end.start()
-    yield text[at:]
+    """A long text in parts that share shingle - 1 words: each has a whole shingle, if the text has one."""
+    words, new, begin = deque(maxlen=shingle), 0, None
+    for m in _WORD.finditer(text):
+        words.append(m.start())
+        new += 1
+        begin = m.start() if begin is None else begin
+        if len(words) == shingle and m.end() - begin > _LONG:
+            yield text[begin : m.end()]
+            new, begin = 0, words[1] if shingle > 1 else None
+    if new:
+        yield text[begin:]
+
+
+def _sets(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
+    """shingle_sets() of texts that are hashed together."""
+    data = b" ".join([*(t or b"" for t in texts), b""]).lower()
+    bounds = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])])
+    doc, h = _shingle_hashes(np.frombuffer(data, dtype=np.uint8), bounds, shingle)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+    doc, h = doc[new], h[new]
+    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    yield from (h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def shingle_sets(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
@@ -253,23 +265,15 @@ def shingle_sets(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray
     at = 0
     while at < len(texts):
         if len(texts[at] or b"") > 2 * _LONG:
-            parts = [next(shingle_sets([x], shingle)) for x in _segments(texts[at], shingle)]
-            yield np.unique(np.concatenate(parts))
+            parts = [next(_sets([x], shingle)) for x in _segments(texts[at], shingle)]
+            yield np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *parts]))
             at += 1
             continue
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end] or b"") <= _LONG) and len(texts[end] or b"") <= 2 * _LONG:
             size += len(texts[end] or b"")
             end += 1
-        data = b" ".join([*(t or b"" for t in texts[at:end]), b""]).lower()
-        bounds = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts[at:end]])])
-        doc, h = _shingle_hashes(np.frombuffer(data, dtype=np.uint8), bounds, shingle)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)]
-        doc, h = doc[new], h[new]
-        cuts = np.searchsorted(doc, np.arange(end - at + 1))
-        yield from (h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        yield from _sets(texts[at:end], shingle)
         at = end
 
 
@@ -428,6 +432,49 @@ def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
     return told.join(split, "bucket")
 
 
+def _dealt(large: DataFrame, pool: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Buckets (bucket, point, label) cut to smaller ones, in which all pairs that are as similar still meet.
+
+    With all shingles in one order, two sets of at least that similarity have one in common among
+    the first |x| - ceil(similarity * |x|) + 1 of each (prefix filtering, Chaudhuri et al. 2006).
+    Here rare shingles come first, as counted by some bits of their hashes, so few texts share one
+    of those. Any order loses no pair. A bucket whose parts would cost more than it stays whole.
+    """
+    texts = cut(large.select("point").distinct().join(pool, "point").select("point", "text"))
+    shift = np.uint64(64 - _SLOT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _SLOT, dtype=np.int64)
+        for batch in batches:
+            for s in shingle_sets(batch.column(1).to_pylist(), shingle):
+                np.add.at(total, (s >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    counted = small_batches(texts).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # of 2 ** _SLOT rows at most
+    often = np.zeros(1 << _SLOT, dtype=np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = []
+            for s in shingle_sets(batch.column(1).to_pylist(), shingle):
+                most = len(s) - int(np.ceil(similarity * len(s) - _EPS)) + 1 if len(s) else 0
+                firsts.append(s[np.lexsort((s, often[(s >> shift).astype(np.int64)]))[:most]].view(np.int64).tolist())
+            yield pa.record_batch([batch.column(0), pa.array(firsts, pa.list_(pa.int64()))], names=["point", "tokens"])
+
+    tokens = small_batches(texts).mapInArrow(first, "point long, tokens array<long>")
+    dealt = cut(large.join(tokens, "point").select("bucket", "point", "label", F.explode("tokens").alias("token")))
+    members = F.sum(F.xxhash64("point").cast("decimal(38,0)")).alias("sum")
+    parts = dealt.groupBy("bucket", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), members).where("lo <> hi")
+    parts = cut(parts.groupBy("bucket", "n", "sum").agg(F.min("token").alias("token")))  # parts with the same members are one
+    work = F.col("n") * (F.col("n") + _PART).cast("double")  # comparisons, and texts that are sent
+    whole = large.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", work.alias("own"))
+    plan = cut(parts.groupBy("bucket").agg(F.sum(work).alias("cost")).join(whole, "bucket").select("bucket", (F.col("cost") < F.col("own")).alias("apart")))
+    split = dealt.join(parts.join(plan.where("apart"), "bucket").select("bucket", "token"), ["bucket", "token"]).select(F.xxhash64("bucket", "token").alias("bucket"), "point", "label")
+    return split.union(large.join(plan.where("not apart").select("bucket"), "bucket").select("bucket", "point", "label"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2, most_direct: int = 4096) -> DataFrame:
     """One row for each row of docs: id_col, tag, component_id (as in near_duplicates()).
 
@@ -436,7 +483,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked by its shingles' hashes. First, `rounds` times, the members of an anchor are checked
     against one of them, that which stands at the most populous anchors; then anchors whose members
     are not yet linked to each other are searched whole. Of these, anchors of over most_direct
-    members are dealt anew by longer samples.
+    members are first cut to smaller groups that lose no pair; most_direct changes the cost alone.
 
     Texts of the same shingles are linked always; null and wordless texts are equal. Null ids,
     repeated rows, empty tables and other columns are treated as in near_duplicates().
@@ -476,19 +523,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edges = cut(edges.union(_check_stars(stars, pool, shingle, similarity)))
         labels = components(edges).select(F.col("node").alias("point"), F.col("component").alias("label"))
     rest = cut(_open(met, labels).select("bucket", "point", "label", "n"))
-    direct = rest.where(F.col("n") <= most_direct)
-    large = cut(rest.where(F.col("n") > most_direct).select("point", "label").distinct())
+    direct = rest.where(F.col("n") <= most_direct).select("bucket", "point", "label")
+    large = cut(rest.where(F.col("n") > most_direct).select("bucket", "point", "label"))
     if not large.isEmpty():
-
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = list(shingle_sets(batch.column(2).to_pylist(), shingle))
-                yield pa.record_batch([*batch.columns[:2], _anchored(sets, *MORE_SAMPLES, 2)], names=["point", "label", "buckets"])
-
-        dealt = small_batches(large.join(pool, "point").select("point", "label", "text")).mapInArrow(again, "point long, label long, buckets array<long>")
-        dealt = cut(dealt.select(F.explode("buckets").alias("bucket"), "point", "label"))
-        split = dealt.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-        direct = direct.union(dealt.join(split, "bucket").select("bucket", "point", "label", "n"))
+        direct = direct.union(_dealt(large, pool, shingle, similarity))
     free(docs.sparkSession)
     edges = cut(edges.union(_check_all(direct, pool, shingle, similarity)))
     labels = components(edges).select(F.col("node").alias("point"), F.col("component").alias("label"))
