@@ -39,3 +39,19 @@ def test_size_expressions_do_not_multiply(spark):
     assert searches(size) == 2 and searches(convert.size_text(convert.rounded_size(convert.rounded_size(size) + 512))) == 2
     span = scalar.duration_nanos(F.concat(F.col("id"), F.lit("min")))
     assert searches(convert.prefix_text(span, "B", 2)) <= 4 and searches(scalar.size_bytes(F.concat(F.col("id"), F.lit("kb")))) <= 4
+
+
+def test_places_in_a_region_by_ranges(spark, tmp_path, monkeypatch):
+    """The last region has nearly all rows; they are numbered in ranges of it."""
+    from tidemark.operators import regions as rg
+
+    monkeypatch.setattr(rg, "TOGETHER", 500, raising=False)
+    orders, nation = spark.range(0, 40_000, 3).selectExpr("id AS o_orderkey"), spark.range(25).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name")
+    assert differs(spark, tmp_path, "region_union", orders=orders, nation=nation) is None
+    plan = catalog.QUERIES["region_union"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in line.split("[region_id")[-1] for line in plan.splitlines() if "Window [row_number" in line)
+    rows = [("a", k) for k in [5, 5, 5, None, -3, 900, 901, 902]] + [("b", 7)] * 3 + [("c", None), (None, 1)]
+    monkeypatch.setattr(rg, "TOGETHER", 2)
+    got = sorted((r["g"], r["place"], r["k"]) for r in rg.places(spark.createDataFrame(rows, "g string, k long"), "g", "k").collect())
+    keys = {g: [k for h, _, k in got if h == g] for g in "abc"}
+    assert keys == {"a": [None, -3, 5, 5, 5, 900, 901, 902], "b": [7, 7, 7], "c": [None]} and [p for _, p, _ in got] == [*range(1, 9), 1, 2, 3, 1]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Up to FEW regions are compared with each row; more are found by cells of the key space.
 FEW = 8
 MOST_BROADCAST = 100_000
 CELLS = 256
+#: Rows that are put in order together, where keys are spread evenly.
+TOGETHER = 100_000
 
 
 def _cell(value: Column, cuts: list[int]) -> Column:
@@ -55,6 +57,23 @@ def route(keys: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     return keys.withColumn("_at", _cell(F.col(key), cuts)).join(spread, (F.col("_at") == F.col("_cell")) & held, "left").drop("_at", "_cell", "_first")
 
 
+def places(rows: DataFrame, region: str, key: str) -> DataFrame:
+    """rows with their place (from 1) by key among those of their region; rows without a region go.
+
+    The keys between a region's least and greatest are cut to even ranges, so many that each holds
+    about TOGETHER rows. Rows are numbered in their range and moved on by the rows of the ranges
+    before it; no task has a whole large region. A key that very many rows share is in one range.
+    """
+    wide = rows.groupBy(region).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.ceil(F.count("*") / TOGETHER).alias("_parts"))
+    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    at = F.when(F.col(key).isNull(), -1).when(high > low, F.floor((F.col(key).cast("double") - low) / (high - low) * F.col("_parts"))).otherwise(0)
+    ranged = rows.join(F.broadcast(wide), region).withColumn("_range", at).drop("_lo", "_hi", "_parts")
+    before = Window.partitionBy(region).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(region, "_range").agg(F.count("*").alias("_n")).select(region, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(region, "_range").orderBy(key))
+    return ranged.join(ranges, [region, "_range"]).withColumn("place", F.col("_before") + inside).drop("_range", "_before")
+
+
 def overlap(scans: DataFrame, regions: DataFrame) -> DataFrame:
     """A task for each scan range and region that meet, cut to what they share. Null bounds are unbounded."""
     free = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) < F.col(b))

@@ -204,11 +204,9 @@ def list_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of regions put together as a bag, with the region's place and the row's place in it."""
-    from pyspark.sql import Window
-
     rows = rg.route(table(spark, sf_dir, "orders").select("o_orderkey"), _regions(spark, sf_dir), "o_orderkey").where("region_id is not null")
-    place = F.substring("region_id", 2, 10).cast("long")
-    return rows.select(place.alias("region"), "o_orderkey", F.row_number().over(Window.partitionBy("region_id").orderBy("o_orderkey")).cast("long").alias("place"))
+    placed = rg.places(rows.select("region_id", "o_orderkey"), "region_id", "o_orderkey")
+    return placed.select(F.substring("region_id", 2, 10).cast("long").alias("region"), "o_orderkey", "place")
 
 
 def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
