@@ -14,6 +14,7 @@ follows them) that are encoded alone; line breaks are outside the alphabet and c
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,16 +23,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, type_of
+from tidemark.llm.common import small_batches, trim, type_of
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _FAR = 1 << 40
-_BLOCK = 600_000  # characters that are indexed together
-_KNOWN_MOST = 150_000
+_BLOCK = 150_000  # characters that are indexed together
+_SPLIT = 1 << 18  # characters that are split together
+_HELD = 1 << 21  # characters of distinct segments that are encoded together
+_KNOWN_MOST = 60_000
 _CACHE_BITS = 20
 
 
+def _segments(text: str) -> Iterator[list[str]]:
+    """The segments of text, those of about _SPLIT characters at a time."""
+    at, size = 0, _SPLIT
+    while at < len(text):
+        own = _SEGMENT.findall(text, at, at + size)
+        if at + size < len(text):
+            if len(own) == 1:
+                size *= 2
+                continue
+            own.pop()  # it may go on
+        yield own
+        at, size = at + sum(map(len, own)), _SPLIT
+
+
 @dataclass
 class PieceModel:
     """A vocabulary with the splits by which its merges build each piece."""
@@ -42,7 +59,8 @@ class PieceModel:
     byte_ids: list[int]  # of <0x00> to <0xFF>
     unk_id: int
     cut_marks: bool = True
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)  # ids of the segments met last
+    known_before: dict[str, bytes] = field(default_factory=dict)  # and of those before
 
     def __post_init__(self) -> None:
         own = [i for i, ok in enumerate(self.normal) if ok]
@@ -185,16 +203,16 @@ class PieceModel:
             cuts.append(at)
         return [segment[a:b] for a, b in zip(cuts, [*cuts[1:], len(segment)], strict=True)]
 
-    def encode_segments(self, segments: list[str]) -> list[np.ndarray]:
-        """The ids of each segment. Blocks are bounded but for a segment that has no place to cut."""
+    def encode_segments(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment, of 32 bits. Blocks are bounded but for a segment that has no place to cut."""
         if any(len(s) > _BLOCK for s in segments):
             parts = [self._loose(s) if len(s) > _BLOCK else [s] for s in segments]
             told = iter(self._encode_blocks([x for p in parts for x in p]))
-            return [np.concatenate([next(told) for _ in p]) for p in parts]
+            return [b"".join([next(told) for _ in p]) for p in parts]
         return self._encode_blocks(segments)
 
-    def _encode_blocks(self, segments: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def _encode_blocks(self, segments: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         at = 0
         while at < len(segments):
             end, size = at, 0
@@ -205,7 +223,7 @@ class PieceModel:
             at = end
         return out
 
-    def _encode_block(self, segments: list[str]) -> list[np.ndarray]:
+    def _encode_block(self, segments: list[str]) -> list[bytes]:
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         text = "\n".join(segments) + "\n"
@@ -227,7 +245,7 @@ class PieceModel:
             order = np.argsort(both)
             sorted_keys, span = both[order], 2 * span
         # 2. Each piece's range of suffixes, by binary search.
-        low, high = self._bounds(keys, order, n, False), self._bounds(keys, order, n, True)
+        low, high = self._ranges(keys, order)
         counts = high - low
         which = np.repeat(np.arange(len(counts)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -261,15 +279,15 @@ class PieceModel:
             alive = here > begin[own]
             here, own = here[alive], own[alive]
         if not stack_piece:
-            return [np.zeros(0, np.int32) for _ in segments]
+            return [b"" for _ in segments]
         pieces, owners = np.concatenate(stack_piece[::-1]), np.concatenate(stack_owner[::-1])
         sort = np.argsort(owners, kind="stable")
         pieces, owners = pieces[sort], owners[sort]
         if (pieces < 0).any():
             pieces, owners = self._spell(pieces, owners)
-        cuts = np.searchsorted(owners, np.arange(len(segments) + 1))
-        pieces = pieces.astype(np.int32)
-        return [pieces[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        cuts = 4 * np.searchsorted(owners, np.arange(len(segments) + 1))
+        ids = pieces.astype(np.int32).tobytes()
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def _codes(self, points: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_table"):
@@ -283,20 +301,28 @@ class PieceModel:
             out[i] = self._high.get(int(points[i]), 1)
         return out
 
-    def _bounds(self, keys: np.ndarray, order: np.ndarray, n: int, after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(self.own), dtype=np.int64), np.full(len(self.own), n, dtype=np.int64)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            at = order[np.minimum(mid, n - 1)]
-            less = np.zeros(len(self.own), dtype=bool)
-            tied = np.ones(len(self.own), dtype=bool)
-            for level in range(len(self.piece_keys)):
-                own = keys[at + level * self.per_key] & self.piece_masks[level]
-                less |= tied & (own < self.piece_keys[level])
-                tied &= own == self.piece_keys[level]
+    def _ranges(self, keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the suffixes that begin with each piece start and end: by first keys, of long pieces by the others within."""
+        first, ones = keys[order], (1 << (self.width * self.per_key)) - 1
+        low = np.searchsorted(first, self.piece_keys[0])
+        high = np.searchsorted(first, self.piece_keys[0] | (ones ^ self.piece_masks[0]), side="right")
+        which = np.flatnonzero((self.piece_sizes > self.per_key) & (low < high))
+        low[which], high[which] = (self._bound(keys, order, which, low[which], high[which], after) for after in (False, True))
+        return low, high
+
+    def _bound(self, keys: np.ndarray, order: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
+        lo, hi = lo.copy(), hi.copy()
+        while len(todo := np.flatnonzero(lo < hi)):
+            mid, piece = (lo[todo] + hi[todo]) >> 1, which[todo]
+            less = np.zeros(len(todo), dtype=bool)
+            tied = ~less
+            for level in range(1, len(self.piece_keys)):
+                own = keys[order[mid] + level * self.per_key] & self.piece_masks[level, piece]
+                less |= tied & (own < self.piece_keys[level, piece])
+                tied &= own == self.piece_keys[level, piece]
             up = (less | tied) if after else less
-            lo = np.where(open_ & up, mid + 1, lo)
-            hi = np.where(open_ & ~up, mid, hi)
+            lo[todo[up]] = mid[up] + 1
+            hi[todo[~up]] = mid[~up]
         return lo
 
     def _spell(self, pieces: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,25 +335,36 @@ class PieceModel:
         return np.array(ids, dtype=np.int64), np.array(own, dtype=np.int64)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text. Null and empty texts have none."""
-        known, place, new = self.known, {}, []
-        split = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        for own in split:
-            for s in own:
-                if s not in place and s not in known:
-                    place[s] = len(new)
-                    new.append(s)
-        fresh = self.encode_segments(new)
-        out = []
-        for own in split:
-            found = [known[s] if s in known else fresh[place[s]] for s in own]
-            out.append(np.concatenate(found) if found else np.zeros(0, np.int32))
-        for s, ids in zip(new, fresh, strict=True):
-            if len(known) >= _KNOWN_MOST:
-                break
+        """The ids of each text. Null and empty texts have none. Of segments the distinct ones are held, up to _HELD characters."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        place: dict[str, int] = {}
+        shares, held = [], 0
+        for k, t in enumerate(texts):
+            for own in _segments(MARK + t.replace(" ", MARK)) if t else ():
+                for s in own:
+                    if s not in place:
+                        place[s] = len(place)
+                        held += len(s)
+                shares.append((k, array("q", map(place.__getitem__, own))))
+                if held >= _HELD:
+                    self._encode_shares(place, shares, out)
+                    place, shares, held = {}, [], 0
+        self._encode_shares(place, shares, out)
+        return [np.frombuffer(b"".join(x), dtype=np.int32) for x in out]
+
+    def _encode_shares(self, place: dict[str, int], shares: list[tuple[int, array]], out: list[list[bytes]]) -> None:
+        """Adds the ids of each share, the places of its segments, to those of its text."""
+        ids = [self.known.get(s) or self.known_before.get(s) for s in place]
+        new = [s for s, x in zip(place, ids, strict=True) if x is None]
+        for s, x in zip(new, self.encode_segments(new), strict=True):
+            ids[place[s]] = x
+        for k, own in shares:
+            out[k].append(b"".join(map(ids.__getitem__, own)))
+        for s, x in zip(place, ids, strict=True):
             if len(s) <= 24:
-                known[s] = ids.copy()
-        return out
+                self.known[s] = x
+                if len(self.known) >= _KNOWN_MOST:
+                    self.known, self.known_before = {}, self.known
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, and the added first space goes."""
@@ -356,6 +393,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     held = docs.sparkSession.sparkContext.broadcast(model)  # the size of a vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # of other operators, too
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = held.value.encode_batch(texts)
@@ -364,6 +402,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             yield pa.record_batch([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(bounds, flat), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "token_ids", "round_trip"])
+        trim()
 
     source = small_batches(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), 4 << 20)
     return source.mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, n_tokens int, token_ids array<int>, round_trip boolean")
